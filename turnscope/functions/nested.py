@@ -36,3 +36,8 @@ def part(array: Column, start: Column, stop: Column) -> Column:
 def total(array: Column) -> Column:
     """Sum of a numeric array as BIGINT."""
     return F.aggregate(array, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+
+def last(array: Column) -> Column:
+    """The last element; NULL for an empty array."""
+    return F.try_element_at(array, F.lit(-1))

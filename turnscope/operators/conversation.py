@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from turnscope.functions import variants as V
 from turnscope.functions.kernels import estimate_chars
-from turnscope.functions.nested import bind, indexes, part, total
+from turnscope.functions.nested import bind, indexes, last, part, total
 
 MARK = '"cache_control":{"type":"ephemeral"}'
 CACHE_POINTS = 4
@@ -340,14 +340,13 @@ def injection_plan(payload: Column, messages: Column) -> Column:
     """``struct(system, tools, turn)`` booleans: where a marker is added, in that order, within budget."""
 
     def unmarked_last(items: Column) -> Column:
-        last = F.element_at(items, -1)
-        return F.coalesce((F.size(items) > 0) & V.is_object(last) & ~V.has(last, "$.cache_control"), F.lit(False))
+        end = last(items)
+        return F.coalesce(V.is_object(end) & ~V.has(end, "$.cache_control"), F.lit(False))
 
     target = F.get(messages, F.size(messages) - 2)
-    last_block = F.element_at(F.filter(target["blocks"], lambda b: b["kind"].isNotNull()), -1)
     can_turn = F.coalesce(
         (target["shape"] == "string")
-        | ((target["shape"] == "list") & (F.size(target["blocks"]) > 0) & ~last_block["cached"]),
+        | ((target["shape"] == "list") & V.is_object(last(target["blocks"])["raw"]) & ~last(target["blocks"])["cached"]),
         F.lit(False),
     )
     can_system = V.is_string(V.at(payload, "$.system")) | unmarked_last(V.items(payload, "$.system"))
@@ -416,10 +415,10 @@ def _block_json(b: Column) -> Column:
 
 
 def _message_json(m: Column, mark_last: Column) -> Column:
-    last = F.size(m["blocks"]) - 1
+    end = F.size(m["blocks"]) - 1
     blocks = F.transform(
         F.transform(m["blocks"], _block_json),
-        lambda text, j: F.when(mark_last & (j == last), _add_mark(text)).otherwise(text),
+        lambda text, j: F.when(mark_last & (j == end), _add_mark(text)).otherwise(text),
     )
     text = _quoted(F.get(m["blocks"], F.lit(0))["text"])
     value = F.when(
@@ -450,8 +449,8 @@ def _marked_list(items: Column) -> Column:
 def render(payload: Column, provider: Column | str, messages: Column, plan: Column) -> Column:
     """The request as JSON text with its turns replaced and its markers added."""
     name = F.when(_col(provider) == "gemini", "contents").otherwise("messages")
-    last = F.size(messages) - 2
-    turns = F.transform(messages, lambda m, t: _message_json(m, plan["turn"] & (t == last)))
+    spot = F.size(messages) - 2
+    turns = F.transform(messages, lambda m, t: _message_json(m, plan["turn"] & (t == spot)))
     rest = F.map_filter(
         V.fields(payload),
         lambda k, _: ~((k == name) | ((k == "system") & plan["system"]) | ((k == "tools") & plan["tools"])),
