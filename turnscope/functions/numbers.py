@@ -51,7 +51,7 @@ def ratio_or_zero(top: Column, bottom: Column) -> Column:
 
 
 def rate_label(value: Column, digits: int = 2) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit(UNMEASURED))
+    return F.when(value.isNull(), F.lit(UNMEASURED)).otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def seconds(milliseconds: Column) -> Column:
