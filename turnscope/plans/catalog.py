@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from turnscope.plans import conversation_queries, kpi_queries, usage_queries  # noqa: F401
+from turnscope.plans import conversation_queries, kpi_queries, record_queries, usage_queries  # noqa: F401
 from turnscope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
