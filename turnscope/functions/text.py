@@ -13,6 +13,10 @@ from turnscope import fixed
 LINE_END = "\\r\\n|[\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
 
+# Word characters: letters, numbers of every kind, underscore.
+WORD = "[\\p{L}\\p{N}_]"
+
+
 def lines(text: Column) -> Column:
     """The lines of a text; no empty last line after a final line end, none at all for ''."""
     parts = F.split(text, LINE_END)
@@ -27,7 +31,7 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Distinct lower-case word tokens."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?U)\\w+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD + "+"), F.lit(0)))
 
 
 def redact_text(text: Column) -> Column:

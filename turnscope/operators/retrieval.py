@@ -24,7 +24,7 @@ SYMBOL_SCHEMA = "symbol string, file string, line int, type string, seq int"
 
 
 def _word_patterns(query: str) -> list[str]:
-    return [f"(?U)(?<!\\w){w}(?!\\w)" for w in sorted(set(re.findall(r"\w+", query.lower())))]
+    return [f"(?<!{X.WORD}){w}(?!{X.WORD})" for w in sorted(set(re.findall(r"\w+", query.lower())))]
 
 
 def word_overlap(line: Column, query: str) -> Column:
@@ -59,7 +59,7 @@ def score_files(files: DataFrame, query: str, matches: int = 3, path: str = "pat
             F.lit(0).cast("bigint").alias("score"),
             F.lit(None).cast("array<struct<line_no:int,content:string>>").alias("matches"),
         )
-    anywhere = "(?U)(?<!\\w)(?:" + "|".join(sorted(set(re.findall(r"\w+", query.lower())))) + ")(?!\\w)"
+    anywhere = "|".join(f"(?:{p})" for p in patterns)
 
     def scored(rows: Column) -> Column:
         return F.struct(

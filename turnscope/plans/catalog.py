@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from turnscope.plans import conversation_queries, kpi_queries, record_queries, usage_queries  # noqa: F401
+from turnscope.plans import (  # noqa: F401
+    compare_queries,
+    conversation_queries,
+    kpi_queries,
+    record_queries,
+    report_queries,
+    usage_queries,
+)
 from turnscope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

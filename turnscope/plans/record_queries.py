@@ -324,7 +324,7 @@ def normalize_prompt(spark, folder):
 
 @query(
     "tokenize_set",
-    """select doc_id, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+'))) as words from documents""",
+    """select doc_id, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) as words from documents""",
 )
 def tokenize_set(spark, folder):
     d = table(spark, folder, "documents")
