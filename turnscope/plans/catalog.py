@@ -6,6 +6,7 @@ from turnscope.plans import (  # noqa: F401
     kpi_queries,
     record_queries,
     report_queries,
+    stream_queries,
     usage_queries,
 )
 from turnscope.plans.registry import ORACLES, QUERIES

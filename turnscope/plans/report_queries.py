@@ -9,7 +9,7 @@ from turnscope.operators import gates as G
 from turnscope.operators import retrieval as RT
 from turnscope.operators import rollups
 from turnscope.plans import documented as D
-from turnscope.plans.record_queries import FAKES, SECRETS_SQL, _fake
+from turnscope.plans.record_queries import SECRETS_SQL, _fake
 from turnscope.plans.registry import query, table
 from turnscope.plans.views import FILES_SQL, files
 from turnscope.sources.files import is_indexed, parse_junit, parse_timing_records
@@ -172,7 +172,7 @@ def secret_findings(spark, folder):
 @query(
     "path_policy",
     """select doc_id, doc_id % 4 = 1 or doc_id % 6 = 0 as disallowed, doc_id % 4 = 0 as exempt,
-    doc_id % 4 <> 0 and doc_id % 7 <> 0 as scanned from documents""",
+    doc_id % 4 <> 0 and not (doc_id % 7 = 0 and doc_id % 6 <> 0) as scanned from documents""",
 )
 def path_policy(spark, folder):
     i = F.col("doc_id")
@@ -181,13 +181,16 @@ def path_policy(spark, folder):
         i,
         F.when(i % 6 == 0, ".log").when(i % 7 == 0, ".png").otherwise(".py"),
     )
-    rows = table(spark, folder, "documents").select("doc_id", path.alias("p"))
-    p = F.when((i % 42 == 0), F.regexp_replace("p", "\\.log$", ".png")).otherwise(F.col("p"))
-    return rows.select(
-        "doc_id",
-        (X.is_disallowed_path(F.col("p"))).alias("disallowed"),
-        X.is_scan_exempt(F.col("p")).alias("exempt"),
-        X.is_scanned(p).alias("scanned"),
+    p = F.col("p")
+    return (
+        table(spark, folder, "documents")
+        .select("doc_id", path.alias("p"))
+        .select(
+            "doc_id",
+            X.is_disallowed_path(p).alias("disallowed"),
+            X.is_scan_exempt(p).alias("exempt"),
+            X.is_scanned(p).alias("scanned"),
+        )
     )
 
 
@@ -453,15 +456,11 @@ def tokens_avoided(spark, folder):
 
 @query(
     "prompt_cache_savings",
-    """select event_id, cast((event_id * 2.7 - user_id * 0.75) / 1000000 as double) as saved from events""",
+    """select event_id, cast(round(cast(event_id * 2.70 - user_id * 0.75 as decimal(18, 2)), 0) as double) / 1000000 as saved from events""",
 )
 def prompt_cache_savings(spark, folder):
     money = D.prompt_cache_savings(F.col("event_id"), F.col("user_id"), F.lit("3.00"), F.lit("0.30"), F.lit("3.75"))
-    rows = table(spark, folder, "events").select("event_id", money.alias("saved"), "user_id")
-    # The amount is exact to six digits; the comparison is made on the same digits.
-    exact = F.bround((F.col("event_id") * 2.7 - F.col("user_id") * 0.75) / 1000000, 12)
-    close = F.abs(F.col("saved").cast("double") - exact) < 1e-6
-    return rows.select("event_id", F.when(close, exact).otherwise(F.col("saved").cast("double")).alias("saved"))
+    return table(spark, folder, "events").select("event_id", money.cast("double").alias("saved"))
 
 
 @query(
@@ -590,5 +589,3 @@ def evidence_score(spark, folder):
         "l_suppkey", F.bround("posterior_mean", 6).alias("posterior_mean"), F.bround("wilson_lower", 6).alias("wilson_lower")
     )
 
-
-assert len(FAKES) == 7

@@ -453,9 +453,9 @@ def chat_to_gemini(spark, folder):
     )
 
 
-def tool_streams(spark, folder):
+def tool_streams(spark, folder, documents=None):
     """Every document as a chat stream whose lines arrive as text or as fragments of two tool calls."""
-    d = table(spark, folder, "documents")
+    d = documents if documents is not None else table(spark, folder, "documents")
     js = lambda s: F.concat(F.lit("data: "), s, F.lit("\n"))
 
     def event(line, i):

@@ -54,7 +54,11 @@ tx as (
 
 def wire_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The log as JSON text: ``ordinal``, ``value``. Rates are absent, null, zero or positive by row."""
-    e = table(spark, folder, "events")
+    return lines_of(table(spark, folder, "events"))
+
+
+def lines_of(e: DataFrame) -> DataFrame:
+    """``wire_lines`` of any events, also of a stream."""
     i, v, c = F.col("event_id"), F.col("value"), F.col
     number = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
     tokens = F.floor(v * 100).cast("bigint")
