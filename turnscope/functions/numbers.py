@@ -5,16 +5,22 @@ NULL always means "not measured"; it is never replaced by zero before an average
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnscope.fixed import CHARS_PER_TOKEN, MIN_STREAM_WINDOW_S, UNMEASURED
 
 
+LARGEST = sys.float_info.max
+
+
 def finite_positive(value: Column) -> Column:
     """The number as DOUBLE when it is finite and above zero, else NULL."""
     number = value.try_cast("double")
-    return F.when((number > 0) & ~F.isnan(number) & (number < float("inf")), number)
+    # NaN sorts above every number, so one upper bound rules out NaN and infinity.
+    return F.when((number > 0) & (number <= LARGEST), number)
 
 
 def whole(value: Column) -> Column:

@@ -8,20 +8,42 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnscope import fixed
+from turnscope.functions.nested import bind
 
-# Line ends: the Unicode set, with CR LF as one.
-LINE_END = "\\r\\n|[\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
-
+# Line ends besides LF: the Unicode set, where CR LF is one.
+ODD_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 # Word characters: letters, numbers of every kind, underscore.
 WORD = "[\\p{L}\\p{N}_]"
 
 
+def split_lines(text: Column) -> Column:
+    """The pieces between line ends, with an empty last piece after a final one.
+
+    Plain searches find out whether there is any line end but LF; the split itself is then on one
+    character, which needs no pattern.
+    """
+
+    def cut(t: Column) -> Column:
+        odd = reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in ODD_ENDS])
+        even = F.translate(F.replace(t, F.lit("\r\n"), F.lit("\n")), ODD_ENDS, "\n" * len(ODD_ENDS))
+        return F.split(F.when(odd, even).otherwise(t), "\n")
+
+    return bind(text, cut)
+
+
 def lines(text: Column) -> Column:
     """The lines of a text; no empty last line after a final line end, none at all for ''."""
-    parts = F.split(text, LINE_END)
-    trimmed = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(trimmed)
+    return bind(
+        split_lines(text),
+        lambda parts: F.when(
+            F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+        ).otherwise(parts),
+    )
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def strip(text: Column) -> Column:
@@ -31,13 +53,31 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Distinct lower-case word tokens."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD + "+"), F.lit(0)))
+
+    def tokens(low: Column) -> Column:
+        # The pattern for plain text is several times cheaper, and most text is plain.
+        plain = F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0))
+        return F.when(is_ascii(low), plain).otherwise(F.regexp_extract_all(low, F.lit(WORD + "+"), F.lit(0)))
+
+    return F.array_distinct(bind(F.lower(text), tokens))
+
+
+def guarded_replace(text: Column, needles: tuple[str, ...], pattern: str, replacement: str) -> Column:
+    """Replace a pattern in texts that contain one of the literals it cannot do without."""
+
+    def step(t: Column) -> Column:
+        possible = reduce(lambda a, b: a | b, [F.contains(t, F.lit(n)) for n in needles])
+        return F.when(possible, F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
+    return bind(text, step)
 
 
 def redact_text(text: Column) -> Column:
     """Mask URL secrets, then every credential shape."""
-    masked = F.regexp_replace(text, fixed.SECRET_URL_PARAM, "$1[REDACTED]")
-    return reduce(lambda t, p: F.regexp_replace(t, "(?U)" + p, "[REDACTED_SECRET]"), fixed.SECRET_TEXT, masked)
+    masked = guarded_replace(text, ("=",), fixed.SECRET_URL_PARAM, "$1[REDACTED]")
+    for needles, pattern in zip(fixed.SECRET_TEXT_LITERALS, fixed.SECRET_TEXT, strict=True):
+        masked = guarded_replace(masked, needles, "(?U)" + pattern, "[REDACTED_SECRET]")
+    return masked
 
 
 def is_secret_header(name: Column) -> Column:
@@ -68,9 +108,9 @@ def redact_headers(headers: Column) -> Column:
 
 def mask_transients(text: Column) -> Column:
     """Replace timestamps, UUIDs and run numbers so that equal prompts compare equal."""
-    text = F.regexp_replace(text, "(?U)" + fixed.ISO_TIMESTAMP, "<TIMESTAMP>")
-    text = F.regexp_replace(text, fixed.UUID, "<UUID>")
-    return F.regexp_replace(text, "(?U)" + fixed.RUN_ID, "task-<ID>")
+    text = guarded_replace(text, ("T",), "(?U)" + fixed.ISO_TIMESTAMP, "<TIMESTAMP>")
+    text = guarded_replace(text, ("-",), fixed.UUID, "<UUID>")
+    return guarded_replace(text, ("task-", "task_", "run-", "run_"), "(?U)" + fixed.RUN_ID, "task-<ID>")
 
 
 def prompt_key(provider: Column, normalized: Column) -> Column:

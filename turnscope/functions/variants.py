@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnscope.functions.nested import bind
+
 
 def parse(text: Column) -> Column:
     return F.try_parse_json(text)
@@ -61,8 +63,8 @@ def whole_at(value: Column, path: str) -> Column:
 
 def number_at(value: Column, path: str) -> Column:
     """A number or numeric string; booleans and other types are NULL."""
-    inner = at(value, path)
-    return F.when(F.schema_of_variant(inner) != "BOOLEAN", F.try_variant_get(value, path, "double"))
+    truth = F.try_variant_get(value, path, "string").isin("true", "false")
+    return F.when(~truth, F.try_variant_get(value, path, "double"))
 
 
 def items(value: Column, path: str = "$") -> Column:
@@ -88,8 +90,15 @@ def dumps_length(json_text: Column) -> Column:
     ``json_text`` is compact JSON. Structural separators are counted after string contents are
     removed; every character outside printable ASCII counts as its ``\\uXXXX`` escape.
     """
-    bare = F.regexp_replace(F.regexp_replace(json_text, "(?s)\\\\.", ""), '"[^"]*"', "")
-    separators = F.length(bare) - F.length(F.translate(bare, ",:", ""))
-    escaped = F.length(F.regexp_replace(json_text, "[\\x00-\\x7e]", ""))
-    astral = F.length(F.regexp_replace(json_text, "[\\x{0}-\\x{ffff}]", ""))
-    return (F.length(json_text) + separators + escaped * 5 + astral * 6).cast("bigint")
+
+    def measure(t: Column) -> Column:
+        bare = F.replace(F.replace(t, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+        outside = F.array_join(F.filter(F.split(bare, '"'), lambda _, i: i % 2 == 0), "")
+        separators = F.length(outside) - F.length(F.translate(outside, ",:", ""))
+        exotic = F.when(
+            (F.octet_length(t) == F.length(t)) & ~F.contains(t, F.lit("\x7f")), F.lit("")
+        ).otherwise(F.regexp_replace(t, "[\\x00-\\x7e]+", ""))
+        astral = F.when(exotic != "", F.length(F.regexp_replace(exotic, "[\\x{0}-\\x{ffff}]+", ""))).otherwise(0)
+        return (F.length(t) + separators + F.length(exotic) * 5 + astral * 6).cast("bigint")
+
+    return bind(json_text, measure)

@@ -373,16 +373,16 @@ def plan_size(plan: Column) -> Column:
 
 def _quoted(text: Column) -> Column:
     """A JSON string literal, or null."""
-    return F.regexp_replace(
-        F.regexp_replace(F.to_json(F.struct(text.alias("c")), {"ignoreNullFields": "false"}), '^\\{"c":', ""),
-        "\\}$",
-        "",
-    )
+    wrapped = F.to_json(F.struct(text.alias("c")), {"ignoreNullFields": "false"})
+    return bind(wrapped, lambda j: F.substring(j, F.lit(6), F.length(j) - 6))
 
 
 def _open(object_json: Column) -> Column:
     """The text of an object without its end, ready for one more field."""
-    return F.regexp_replace(F.regexp_replace(object_json, "\\}$", ","), "^\\{,$", "{")
+    return bind(
+        object_json,
+        lambda j: F.when(j == "{}", "{").otherwise(F.concat(F.substring(j, F.lit(1), F.length(j) - 1), F.lit(","))),
+    )
 
 
 def _set_field(raw: Column, name: Column | str, value_json: Column) -> Column:

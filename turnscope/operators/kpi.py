@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from turnscope.functions import numbers as N
 from turnscope.functions import variants as V
 
+USAGE = (
+    "input_tokens",
+    "output_tokens",
+    "cache_read_input_tokens",
+    "cache_creation_input_tokens",
+    "reasoning_tokens",
+)
 DELTAS = ("tool_outputs_omitted", "chars_saved", "turns_summarized", "cache_control_injected")
 
 
@@ -18,24 +25,37 @@ def readings(transactions: DataFrame, tx: str = "tx", ordinal: str = "ordinal")
     derived from its times; null means the writer could not measure it.
     """
     t = F.col(tx)
-    usage = lambda k: V.whole_at(t, f"$.response.usage.{k}")
-    base = transactions.select(
+    counters = ", ".join(f"{k}: bigint" for k in (*USAGE, "thinking_tokens"))
+    rates = ("ttft_ms", "total_ms", "prefill_tps", "tail_prefill_tps", "decode_tps")
+    # Each section is read in one pass over its object; fields that do not fit become NULL.
+    sections = transactions.select(
         F.col(ordinal).alias("ordinal"),
-        V.text_of(t, "$.turn_id").alias("turn_id"),
-        V.kind(V.at(t, "$.turn_id")).alias("turn_id_type"),
+        V.at(t, "$.turn_id").alias("_turn"),
         (V.text_of(t, "$.cache_action") == "HIT").alias("is_hit"),
-        *[V.whole_at(t, f"$.delta.{k}").alias(k) for k in DELTAS],
+        F.try_variant_get(t, "$.delta", f"struct<{', '.join(f'{k}: bigint' for k in DELTAS)}>").alias("_delta"),
+        F.try_variant_get(t, "$.response.usage", f"struct<{counters}>").alias("_usage"),
+        F.try_variant_get(t, "$.timing", f"struct<{', '.join(f'{k}: variant' for k in rates)}>").alias("_timing"),
+    )
+    count = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    usage = lambda k: count(F.col(f"_usage.{k}"))
+    number = lambda k: V.number_at(F.col(f"_timing.{k}"), "$")
+    base = sections.select(
+        "ordinal",
+        V.text_of(F.col("_turn"), "$").alias("turn_id"),
+        V.kind(F.col("_turn")).alias("turn_id_type"),
+        "is_hit",
+        *[count(F.col(f"_delta.{k}")).alias(k) for k in DELTAS],
         usage("input_tokens").alias("input_tokens"),
         usage("output_tokens").alias("output_tokens"),
         usage("cache_read_input_tokens").alias("cache_read"),
         usage("cache_creation_input_tokens").alias("cache_creation"),
         F.coalesce(F.nullif(usage("reasoning_tokens"), F.lit(0)), usage("thinking_tokens")).alias("reasoning"),
-        N.finite_positive(V.number_at(t, "$.timing.ttft_ms") / 1000.0).alias("ttft_s"),
-        N.finite_positive(V.number_at(t, "$.timing.total_ms") / 1000.0).alias("total_s"),
-        V.number_at(t, "$.timing.prefill_tps").alias("stored_prefill"),
-        V.number_at(t, "$.timing.tail_prefill_tps").alias("stored_tail"),
-        V.number_at(t, "$.timing.decode_tps").alias("stored_decode"),
-        V.has(t, "$.timing.decode_tps").alias("has_decode"),
+        N.finite_positive(number("ttft_ms") / 1000.0).alias("ttft_s"),
+        N.finite_positive(number("total_ms") / 1000.0).alias("total_s"),
+        number("prefill_tps").alias("stored_prefill"),
+        number("tail_prefill_tps").alias("stored_tail"),
+        number("decode_tps").alias("stored_decode"),
+        F.col("_timing.decode_tps").isNotNull().alias("has_decode"),
     )
     return with_rates(base)
 

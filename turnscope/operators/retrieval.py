@@ -23,14 +23,22 @@ SYMBOL_SCHEMA = "symbol string, file string, line int, type string, seq int"
 # --- words on lines -----------------------------------------------------------------------------------
 
 
-def _word_patterns(query: str) -> list[str]:
-    return [f"(?<!{X.WORD}){w}(?!{X.WORD})" for w in sorted(set(re.findall(r"\w+", query.lower())))]
+def _query_words(query: str) -> list[str]:
+    return sorted(set(re.findall(r"\w+", query.lower())))
+
+
+def _has_word(low: Column, word: str) -> Column:
+    # The plain search rules out most lines before the pattern looks at word borders.
+    return F.contains(low, F.lit(word)) & low.rlike(f"(?<!{X.WORD}){word}(?!{X.WORD})")
+
+
+def _overlap(low: Column, query: str) -> Column:
+    return reduce(lambda a, b: a + b, [_has_word(low, w).cast("int") for w in _query_words(query)], F.lit(0))
 
 
 def word_overlap(line: Column, query: str) -> Column:
     """How many distinct words of the query stand on a line."""
-    low = F.lower(line)
-    return reduce(lambda a, b: a + b, [low.rlike(p).cast("int") for p in _word_patterns(query)], F.lit(0))
+    return bind(F.lower(line), lambda low: _overlap(low, query))
 
 
 def file_lines(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -52,14 +60,14 @@ def score_files(files: DataFrame, query: str, matches: int = 3, path: str = "pat
 
     A file is one row, so its lines are scored inside the row and nothing is shuffled.
     """
-    patterns = _word_patterns(query)
-    if not patterns:
+    words = _query_words(query)
+    if not words:
         return files.limit(0).select(
             F.col(path).alias("path"),
             F.lit(0).cast("bigint").alias("score"),
             F.lit(None).cast("array<struct<line_no:int,content:string>>").alias("matches"),
         )
-    anywhere = "|".join(f"(?:{p})" for p in patterns)
+    possible = reduce(lambda a, b: a | b, [F.contains(F.lower(F.col(content)), F.lit(w)) for w in words])
 
     def scored(rows: Column) -> Column:
         return F.struct(
@@ -76,7 +84,7 @@ def score_files(files: DataFrame, query: str, matches: int = 3, path: str = "pat
             (i + 1).alias("line_no"), line.alias("text"), word_overlap(line, query).alias("hits")
         ),
     )
-    found = files.filter(F.lower(F.col(content)).rlike(anywhere))
+    found = files.filter(possible)
     return (
         found.select(F.col(path).alias("path"), bind(rows, scored).alias("_s"))
         .select("path", "_s.score", "_s.matches")

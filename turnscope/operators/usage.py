@@ -17,7 +17,7 @@ from turnscope.functions.kernels import estimate_chars
 from turnscope.functions.nested import bind, last, total
 from turnscope.functions.numbers import tokens_from_chars
 from turnscope.functions.providers import provider_impl
-from turnscope.functions.text import LINE_END
+from turnscope.functions.text import split_lines
 
 BLANK = " \t\n\r\x0b\x0c"
 # Markers that cannot occur in interchanged text (Unicode noncharacters): text, tool start, end.
@@ -26,7 +26,7 @@ TEXT, TOOL, END = "﷐", "﷑", "﷒"
 
 def stream_events(body: Column) -> Column:
     """The JSON objects of the ``data:`` lines, in order; anything unreadable is left out."""
-    rows = F.transform(F.split(body, LINE_END), lambda r: F.btrim(r, F.lit(BLANK)))
+    rows = F.transform(split_lines(body), lambda r: F.btrim(r, F.lit(BLANK)))
     data = F.transform(
         F.filter(rows, lambda r: F.startswith(r, F.lit("data:"))),
         lambda r: F.btrim(F.substring(r, F.lit(6), F.length(r)), F.lit(BLANK)),

@@ -236,7 +236,7 @@ fresh as (select * from store where created_at >= {NOW - TTL})"""
 
 
 def prompts(spark, folder):
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     i = F.col("doc_id")
     old = F.when(i % 7 == 0, 700000).otherwise(0)
     shaped = d.select(

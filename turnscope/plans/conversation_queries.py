@@ -248,7 +248,7 @@ def merge_role_blocks(spark, folder):
 
 def _marked_requests(spark, folder):
     """Requests with markers on some system texts, tools and blocks."""
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     i = F.col("doc_id")
     mark = ',"cache_control":{"type":"ephemeral"}'
 
@@ -419,7 +419,7 @@ def first_occurrence(spark, folder):
 )
 def first_occurrence_by_lang(spark, folder):
     # All documents of a language as one payload: a few keys hold the whole table.
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     turns = d.select(F.col("lang").alias("payload_id"), F.col("doc_id").alias("turn_idx"), "text")
     return T.first_occurrence(turns).select("payload_id", "turn_idx", "first_turn")
 
@@ -531,7 +531,7 @@ def derive_turn_id(spark, folder):
     substring(sha256(text), 1, 32) as system_hash, sha256('anthropic:' || text) as prompt_key from documents""",
 )
 def content_hash(spark, folder):
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     return d.select(
         "doc_id",
         X.content_digest(F.col("text")).alias("digest"),
@@ -545,6 +545,6 @@ def content_hash(spark, folder):
     f"""select doc_id, {JSON_LENGTH.format("text")} + length('{{"a": [1, 2], "text": ""}}') as chars from documents""",
 )
 def json_length(spark, folder):
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     text = F.to_json(F.struct(F.array(F.lit(1), F.lit(2)).alias("a"), "text"))
     return d.select("doc_id", V.dumps_length(text).alias("chars"))

@@ -151,7 +151,7 @@ def is_streaming_request(spark, folder):
 
 
 def _headers(spark, folder):
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     i = F.col("event_id")
     headers = F.create_map(
         F.lit("X-Agent-Id"), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("agent-"), F.col("user_id"))),
@@ -246,7 +246,7 @@ def _fake(i):
     when doc_id % 9 = 7 then 'http://h/p?user=1&api_key=[REDACTED]#x' else 'nothing' end || chr(10) || text as clean from documents""",
 )
 def scrub_string(spark, folder):
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     mixed = F.concat("text", F.lit("\n"), _fake(F.col("doc_id")), F.lit("\n"), "text")
     return d.select("doc_id", X.redact_text(mixed).alias("clean"))
 
@@ -270,7 +270,7 @@ def scrub_urls(spark, folder):
     else 'nothing' end as item from documents""",
 )
 def scrub_payload(spark, folder):
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     payload = F.to_json(
         F.struct(
             F.struct(F.lit("x").alias("deep")).alias("password"),
@@ -295,7 +295,7 @@ def scrub_payload(spark, folder):
     from events""",
 )
 def find_nested_key(spark, folder):
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     i = F.col("event_id")
     deep = F.format_string('{"a":[{"b":null},{"c":{"target":"%s"}}],"target":null}', "event_type")
     flat = F.format_string('{"x":{"other":%d},"y":{"target":"late"}}', i)
@@ -312,7 +312,7 @@ def find_nested_key(spark, folder):
     sha256('openai:{"at":"<TIMESTAMP>","id":"<UUID>","job":"task-<ID> task-<ID>","n":' || event_id || '}') as key from events""",
 )
 def normalize_prompt(spark, folder):
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     uid = F.format_string("%08x-0000-4000-8000-%012x", "user_id", "event_id")
     raw = F.format_string(
         '{"n":%d,"job":"run_%d task-%d","id":"%s","at":"%sZ"}',
@@ -327,7 +327,7 @@ def normalize_prompt(spark, folder):
     """select doc_id, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) as words from documents""",
 )
 def tokenize_set(spark, folder):
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     return d.select("doc_id", F.size(X.words(F.col("text"))).cast("bigint").alias("words"))
 
 
@@ -345,7 +345,7 @@ def safe_id(spark, folder):
     case when length(text) <= 8 then '****' else left(text, 4) || '...' || right(text, 4) end as long from documents""",
 )
 def mask_secret(spark, folder):
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     return d.select(
         "doc_id", X.mask_secret(F.col("source")).alias("short"), X.mask_secret(F.col("text")).alias("long")
     )
@@ -381,7 +381,7 @@ def request_payload(spark, folder):
     from (select doc_id, length(cast(to_json(text) as varchar)) - 2 + 5 * length(regexp_replace(text, '[\\x00-\\x7e]', '', 'g')) as n from documents)""",
 )
 def record_delta(spark, folder):
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     raw = F.to_json(F.struct(F.array(F.lit(1), F.lit(2)).alias("a"), "text"))
     stats = F.when(
         F.col("doc_id") % 2 == 0,
@@ -417,7 +417,7 @@ def timing_project(spark, folder):
     """select doc_id, 3 as keys, false as any_marker, text as first_text, 'x' as system_text from documents""",
 )
 def strip_vendor_fields(spark, folder):
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     mark = '"cache_control":{"type":"ephemeral"}'
     raw = F.concat(
         F.lit('{"thinking":{"x":1},"output_config":1,"context_management":[],"system":[{"type":"text","text":"x",' + mark),
@@ -452,7 +452,7 @@ def require_payloads(spark, folder):
 
 def exchanges(spark, folder):
     """Every event as a captured exchange; every third one answered as a stream."""
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     i, v = F.col("event_id"), F.col("value")
     text = F.concat(F.lit("hello "), "event_type", F.lit(" "), _fake(i))
     raw = F.concat(

@@ -26,5 +26,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A test table. ``spread`` deals the rows of a table with few splits to all cores.
+
+    Only small inputs have fewer splits than cores; larger ones are read as they are split, without a
+    shuffle.
+    """
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and rows._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return rows.repartition(cores, rows.columns[0])
+    return rows

@@ -70,7 +70,7 @@ def first_3_matches(spark, folder):
     select full_path || suffix as path from named where full_path not like 'build/%' and suffix <> '.txt'""",
 )
 def scan_text_files(spark, folder):
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     i = F.col("doc_id")
     folder_name = F.when(i % 5 == 0, "build/").when(i % 5 == 1, "src/rebuild/").otherwise("")
     suffix = F.when(i % 3 == 0, ".md").when(i % 3 == 1, ".txt").otherwise(".py")
@@ -146,7 +146,7 @@ def context_bootstrap(spark, folder):
 
 def leaking_files(spark, folder):
     """Documents with a fake credential after their first line; some lines are exempt."""
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     i = F.col("doc_id")
     extra = F.concat(F.lit("first\nkey "), _fake(i), F.when(i % 5 == 0, " pr-allow-secret").otherwise(""), F.lit("\n"))
     return d.select(
@@ -183,7 +183,7 @@ def path_policy(spark, folder):
     )
     p = F.col("p")
     return (
-        table(spark, folder, "documents")
+        table(spark, folder, "documents", spread=True)
         .select("doc_id", path.alias("p"))
         .select(
             "doc_id",
@@ -388,7 +388,7 @@ def test_time_totals(spark, folder):
 
 
 def subtasks(spark, folder):
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     return d.select(
         F.col("lang").alias("run_id"),
         F.col("doc_id").alias("position"),
@@ -440,7 +440,7 @@ def subtask_rollup(spark, folder):
 )
 def cleaning_ratio(spark, folder):
     n = F.col("n_chars")
-    return table(spark, folder, "documents").select("doc_id", F.bround(D.cleaning_ratio(n, F.floor(n / 3)), 6).alias("ratio"))
+    return table(spark, folder, "documents", spread=True).select("doc_id", F.bround(D.cleaning_ratio(n, F.floor(n / 3)), 6).alias("ratio"))
 
 
 @query(
@@ -513,7 +513,7 @@ def tier_cost(spark, folder):
 )
 def compression_ratio(spark, folder):
     ratio = D.compression_ratio(F.length("text"), F.floor(F.col("n_chars") / 10))
-    return table(spark, folder, "documents").select("doc_id", F.bround(ratio, 6).alias("ratio"))
+    return table(spark, folder, "documents", spread=True).select("doc_id", F.bround(ratio, 6).alias("ratio"))
 
 
 @query(

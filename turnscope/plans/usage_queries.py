@@ -22,7 +22,7 @@ ls as (
 
 def streams(spark, folder, provider):
     """Every document as the event stream of one reply, with noise lines between the events."""
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     doc = F.col("doc_id")
     js = lambda **f: F.to_json(F.struct(*[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in f.items()]))
     data = lambda text: F.concat(F.lit("data: "), text, F.lit("\n"))
@@ -185,7 +185,7 @@ def sse_text_gemini(spark, folder):
 
 def replies(spark, folder):
     """Every event as a response object of its provider; some report no usage."""
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     i = F.col("event_id")
     tokens = F.floor(F.col("value") * 100).cast("bigint")
     no_output = i % 4 == 3
@@ -277,7 +277,7 @@ def detailed_usage(spark, folder):
 
 def gemini_requests(spark, folder):
     """Every document as a turn-and-part request with calls and replies, some of them with ids."""
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
 
     def turn(line, i):
         fn = F.concat(F.lit("f"), (F.length(line) % 3).cast("string"))
@@ -422,7 +422,7 @@ def gemini_options(spark, folder):
     from documents""",
 )
 def chat_to_gemini(spark, folder):
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     i = F.col("doc_id")
     args = F.when(i % 2 == 0, '"{oops"').otherwise(F.concat(F.lit('"{\\"n\\":'), i, F.lit('}"')))
     name = F.when(i % 2 == 0, "g").otherwise("f")
@@ -455,7 +455,7 @@ def chat_to_gemini(spark, folder):
 
 def tool_streams(spark, folder, documents=None):
     """Every document as a chat stream whose lines arrive as text or as fragments of two tool calls."""
-    d = documents if documents is not None else table(spark, folder, "documents")
+    d = documents if documents is not None else table(spark, folder, "documents", spread=True)
     js = lambda s: F.concat(F.lit("data: "), s, F.lit("\n"))
 
     def event(line, i):

@@ -54,7 +54,7 @@ tx as (
 
 def wire_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The log as JSON text: ``ordinal``, ``value``. Rates are absent, null, zero or positive by row."""
-    return lines_of(table(spark, folder, "events"))
+    return lines_of(table(spark, folder, "events", spread=True))
 
 
 def lines_of(e: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def requests(spark: SparkSession, folder: str, provider: str) -> DataFrame:
     """One request per document: ``payload_id``, ``lang``, ``provider``, ``json`` and ``payload``."""
     turn = {"anthropic": _anthropic_turn, "openai": _openai_turn, "gemini": _gemini_turn}[provider]
     name = "contents" if provider == "gemini" else "messages"
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     turns = F.array_join(F.transform(_lines(F.col("text"), F.col("doc_id")), turn), ",")
     head = ""
     if provider == "anthropic":
@@ -195,7 +195,7 @@ def conversation_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_turns(spark: SparkSession, folder: str) -> DataFrame:
     """Document lines as turn rows, for steps that work on rows."""
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     rows = d.select(
         F.col("doc_id").alias("payload_id"),
         F.posexplode(_lines(F.col("text"), F.col("doc_id"))).alias("turn_idx", "text"),
@@ -210,7 +210,7 @@ def document_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as text files: ``path``, ``content``."""
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     return d.select(
         F.concat(F.col("source"), F.lit("/"), F.format_string("%09d", "doc_id"), F.lit(".md")).alias("path"),
         F.col("text").alias("content"),

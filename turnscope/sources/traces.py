@@ -17,9 +17,14 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
     Blank lines, unreadable lines and other JSON values are dropped.
     """
-    text = F.btrim(F.col(value), F.lit(BLANK))
-    objects = lines.withColumn(value, text).filter(F.col(value).startswith("{") & F.col(value).endswith("}"))
-    return objects.withColumn("tx", V.parse(F.col(value))).filter(F.col("tx").isNotNull())
+    v = F.col(value)
+    clean = v.startswith("{") & v.endswith("}")
+    text = F.when(clean, v).otherwise(F.btrim(v, F.lit(BLANK)))
+    whole = F.when(clean | (text.startswith("{") & text.endswith("}")), V.parse(text))
+    # Exploding an array of at most one element parses once; a filter on the parsed column would be
+    # pushed below the projection and parse again.
+    kept = [F.col(c) for c in lines.columns]
+    return lines.select(*kept, F.explode(F.array_compact(F.array(whole))).alias("tx"))
 
 
 def parse_arrays(files: DataFrame, value: str = "value") -> DataFrame:
