@@ -343,10 +343,14 @@ def injection_plan(payload: Column, messages: Column) -> Column:
         end = last(items)
         return F.coalesce(V.is_object(end) & ~V.has(end, "$.cache_control"), F.lit(False))
 
+    def open_block(b: Column) -> Column:
+        # Blocks made here have no raw value.
+        return b.isNotNull() & ~b["cached"] & (b["raw"].isNull() | V.is_object(b["raw"]))
+
     target = F.get(messages, F.size(messages) - 2)
     can_turn = F.coalesce(
         (target["shape"] == "string")
-        | ((target["shape"] == "list") & V.is_object(last(target["blocks"])["raw"]) & ~last(target["blocks"])["cached"]),
+        | ((target["shape"] == "list") & bind(last(target["blocks"]), open_block)),
         F.lit(False),
     )
     can_system = V.is_string(V.at(payload, "$.system")) | unmarked_last(V.items(payload, "$.system"))

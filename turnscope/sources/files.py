@@ -34,7 +34,8 @@ def scan_text_files(spark: SparkSession, root: str) -> DataFrame:
     top = spark._jvm.org.apache.hadoop.fs.Path(root)
     prefix = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/") + "/"
     relative = F.regexp_replace(F.replace("path", F.lit(prefix), F.lit("")), "^(file|hdfs)://", "")
-    decoded = F.translate(F.decode("content", "UTF-8"), "�", "")
+    text = F.col("content").cast("string")
+    decoded = F.when(F.is_valid_utf8(text), text).otherwise(F.translate(F.make_valid_utf8(text), "\ufffd", ""))
     return raw.select(relative.alias("path"), decoded.alias("content")).filter(is_indexed(F.col("path")))
 
 
