@@ -114,30 +114,43 @@ def chat_messages(requests: DataFrame, payload: str = "payload") -> DataFrame:
         F.struct(c("fn").alias("name"), c("body").alias("arguments")).alias("function"),
     )
     texts = F.expr("listagg(body, '\n') within group (order by part_idx) filter (where kind = 'text')")
+    answer = F.struct(
+        "part_idx", c("body").alias("content"), c("fn").alias("name"), c("call_id").alias("tool_call_id")
+    )
+    # One pass over the parts of a turn gives its text, its calls and its replies.
     whole = both.groupBy("payload_id", "turn_idx", "role").agg(
-        F.count_if(c("kind") == "reply").alias("replies"),
         texts.alias("text"),
-        F.array_sort(F.array_agg(F.when(c("kind") == "call", call))).alias("calls"),
+        F.array_sort(F.array_compact(F.array_agg(F.when(c("kind") == "call", call)))).alias("calls"),
+        F.array_sort(F.array_compact(F.array_agg(F.when(c("kind") == "reply", answer)))).alias("replies"),
     )
-    calls = F.filter("calls", lambda x: x.isNotNull())
-    spoken = whole.filter("replies = 0").select(
-        "payload_id",
-        F.struct(c("turn_idx"), F.lit(0).alias("part_idx")).alias("message_idx"),
-        "role",
-        F.when(c("text").isNotNull(), c("text")).when(F.size(calls) == 0, "").alias("content"),
-        F.lit(None).cast("string").alias("name"),
-        F.lit(None).cast("string").alias("tool_call_id"),
-        F.when(F.size(calls) > 0, F.to_json(F.transform(calls, lambda x: x.dropFields("part_idx")))).alias("tool_calls"),
+    none = F.lit(None).cast("string")
+
+    def message(part_idx, role, content, name, tool_call_id, tool_calls):
+        return F.struct(
+            F.struct(c("turn_idx").alias("turn_idx"), part_idx.cast("int").alias("part_idx")).alias("message_idx"),
+            role.alias("role"),
+            content.alias("content"),
+            name.alias("name"),
+            tool_call_id.alias("tool_call_id"),
+            tool_calls.alias("tool_calls"),
+        )
+
+    has_calls = F.size("calls") > 0
+    spoken = message(
+        F.lit(0),
+        c("role"),
+        F.when(c("text").isNotNull(), c("text")).when(~has_calls, ""),
+        none,
+        none,
+        F.when(has_calls, F.to_json(F.transform("calls", lambda x: x.dropFields("part_idx")))),
     )
-    answers = tools.filter(c("kind") == "reply").select(
-        "payload_id",
-        F.struct("turn_idx", "part_idx").alias("message_idx"),
-        F.lit("tool").alias("role"),
-        c("body").alias("content"),
-        c("fn").alias("name"),
-        c("call_id").alias("tool_call_id"),
-        F.lit(None).cast("string").alias("tool_calls"),
+    answers = F.transform(
+        "replies",
+        lambda r: message(r["part_idx"], F.lit("tool"), r["content"], r["name"], r["tool_call_id"], none),
     )
+    turns = whole.select(
+        "payload_id", F.explode(F.when(F.size("replies") > 0, answers).otherwise(F.array(spoken))).alias("m")
+    ).select("payload_id", "m.*")
     instruction = F.when(
         V.truthy(V.at(c(payload), "$.systemInstruction")), V.at(c(payload), "$.systemInstruction")
     ).otherwise(V.at(c(payload), "$.system_instruction"))
@@ -152,7 +165,7 @@ def chat_messages(requests: DataFrame, payload: str = "payload") -> DataFrame:
         F.array_join("lines", "\n\n").alias("content"),
         *[F.lit(None).cast("string").alias(n) for n in ("name", "tool_call_id", "tool_calls")],
     )
-    return system.unionByName(spoken).unionByName(answers)
+    return system.unionByName(turns)
 
 
 def chat_options(payload: Column, model: Column | None = None) -> Column:

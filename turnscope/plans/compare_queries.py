@@ -13,6 +13,7 @@ from turnscope.operators.ordered import dense_index
 from turnscope.plans.conversation_queries import ANTHROPIC_KEYS, DEDUP_SQL
 from turnscope.plans.registry import query, table
 from turnscope.plans.views import TURNS_SQL, TX_SQL, requests, wire_transactions
+from turnscope.session import work_dir
 from turnscope.sources.tables import add_hits, append_memories, clear, upsert
 
 # --- offline ------------------------------------------------------------------------------------------
@@ -136,9 +137,11 @@ pairs as (
 
 
 def _runs(spark, folder):
-    t = wire_transactions(spark, folder).select(
-        "ordinal", "tx", F.try_variant_get("tx", "$.mode", "string").alias("mode")
-    )
+    # The log is parsed once; what follows reads the columns it needs from the parsed table.
+    path = work_dir(spark, "parsed")
+    mode = F.try_variant_get("tx", "$.mode", "string").alias("mode")
+    wire_transactions(spark, folder).select("ordinal", "tx", mode).write.parquet(path)
+    t = spark.read.parquet(path)
     return A.mode_filter(t, "optimized"), A.mode_filter(t, "baseline")
 
 
@@ -292,7 +295,6 @@ def store_upsert(spark, folder):
     f"""with {STORE_SQL} select provider, count(*) as entries, cast(sum(len(words)) as bigint) as words from store group by provider""",
 )
 def store_scan(spark, folder):
-    from turnscope.session import work_dir
     from turnscope.sources.tables import read_store, write_table
 
     path = work_dir(spark, "store")
