@@ -255,3 +255,40 @@ def test_json_kernels(spark):
     nested = {"z": {"q": 1, "want": None}, "y": [{"want": [2]}], "want": None}
     df = spark.createDataFrame([(json.dumps(nested),)], "j string")
     assert df.select(find_key(F.col("j"), "want").alias("r")).first().r == "[2]"
+
+
+@pytest.mark.parametrize(
+    "provider, payload, parts",
+    [
+        (
+            "openai",
+            {"messages": [{"role": "system", "content": " You are OpenAI. "}, {"role": "user", "content": "Hello world"}]},
+            ("Hello world", "You are OpenAI."),
+        ),
+        (
+            "gemini",
+            {"contents": [{"parts": [{"text": "Hello Gemini"}]}], "systemInstruction": {"parts": [{"text": "Be helpful."}]}},
+            ("Hello Gemini", "Be helpful."),
+        ),
+        (
+            "anthropic",
+            {
+                "system": [{"type": "text", "text": "a"}, "b"],
+                "messages": [
+                    {"role": "user", "content": "dropped"},
+                    {"role": "user", "content": [{"type": "tool_result", "content": [{"text": "x"}, "y"]}, {"text": "z"}]},
+                    {"role": "assistant", "content": "no"},
+                    {"role": "user", "content": {"text": "last"}},
+                ],
+            },
+            ("x y z last", "a b"),
+        ),
+        ("anthropic", {"prompt": "p", "messages": []}, ("p", "")),
+        ("openai", {"system": "top", "messages": [{"role": "user", "content": 5}]}, ("5", "top")),
+        ("gemini", {"contents": [], "prompt": "p", "system_instruction": "  s "}, ("p", "s")),
+    ],
+)
+def test_cache_key_parts(spark, provider, payload, parts):
+    df = spark.createDataFrame([(json.dumps(payload),)], "j string").withColumn("p", V.parse(F.col("j")))
+    row = df.select(C.cache_key_parts(F.col("p"), provider).alias("k")).first().k
+    assert (row.user_text, row.system_text) == parts

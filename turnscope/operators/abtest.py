@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,9 +86,17 @@ def default_turn_id(turn_id: Column, round_no: Column, position: Column) -> Colu
 
 
 def offline_turns(
-    transactions: DataFrame, options: CleanOptions = CleanOptions(), tx: str = "tx", position: str = "position"
+    transactions: DataFrame,
+    options: CleanOptions = CleanOptions(),
+    tx: str = "tx",
+    position: str = "position",
+    cleaner: Callable[[DataFrame, str, str], DataFrame] | None = None,
 ) -> DataFrame:
-    """One row per transaction with a request: tokens and characters before and after cleaning."""
+    """One row per transaction with a request: tokens and characters before and after cleaning.
+
+    ``cleaner`` replaces the built-in one: it gets the frame, the payload column and the provider column,
+    and adds the struct ``clean`` that ``clean_payload`` adds.
+    """
     t = F.col(tx)
     action = F.coalesce(
         F.nullif(V.text_of(t, "$.cache_action"), F.lit("")), V.text_of(t, "$.cache_status"), F.lit("")
@@ -103,7 +113,7 @@ def offline_turns(
         (F.upper(action) == "HIT").alias("is_hit"),
         V.number_at(t, "$.timing.ttft_ms").alias("baseline_ttft_ms"),
     ).withColumn("_impl", provider_impl(F.col("provider")))
-    cleaned = clean_payload(named, "_payload", "_impl", options)
+    cleaned = cleaner(named, "_payload", "_impl") if cleaner else clean_payload(named, "_payload", "_impl", options)
     cleaned = cleaned.withColumn("_base_json", F.to_json("_payload")).withColumn("_new_json", F.col("clean.cleaned"))
     cleaned = cleaned.withColumn("_new", V.parse(F.col("_new_json")))
     counted = with_chars(cleaned, "_payload", "_base_json", "baseline_chars")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from turnscope.functions import variants as V
 from turnscope.functions.kernels import estimate_chars
 from turnscope.functions.nested import bind, indexes, last, part, total
+from turnscope.functions.text import strip
 
 MARK = '"cache_control":{"type":"ephemeral"}'
 CACHE_POINTS = 4
@@ -554,3 +555,91 @@ def with_chars(df: DataFrame, payload: str, json_text: str, out: str) -> DataFra
     fast = df.withColumn(out, payload_chars(F.col(payload), "anthropic"))
     slow = estimate_chars(F.when(F.col(out).isNull(), F.col(json_text)))
     return fast.withColumn(out, F.coalesce(F.col(out), slow))
+
+
+# --- what a prompt is matched by ------------------------------------------------------------------------
+
+
+def _item_texts(item: Column, depth: int = 3) -> Column:
+    """Texts of a content item: its own, and those below a tool result."""
+    none = F.array().cast("array<string>")
+    one = lambda text: F.when(text.isNotNull(), F.array(text)).otherwise(none)
+    own = F.when(V.is_string(item), one(V.string_or_null(item))).otherwise(one(V.string_or_null(item, "$.text")))
+    if depth == 0:
+        return own
+    below = V.at(item, "$.content")
+    nested = (
+        F.when(V.is_string(below), one(V.string_or_null(below)))
+        .when(V.is_array(below), F.flatten(F.transform(V.items(below), lambda x: _item_texts(x, depth - 1))))
+        .when(V.is_object(below), _item_texts(below, depth - 1))
+        .otherwise(none)
+    )
+    is_result = F.coalesce(V.string_or_null(item, "$.type") == "tool_result", F.lit(False))
+    return F.when(is_result, F.concat(own, nested)).otherwise(own)
+
+
+def _plain_texts(value: Column) -> Column:
+    """Texts of a system value that is a string or a list of strings and text blocks."""
+    pick = lambda x: F.coalesce(V.string_or_null(x), V.string_or_null(x, "$.text"))
+    listed = F.filter(F.transform(V.items(value), pick), lambda t: t.isNotNull())
+    return F.when(V.is_string(value), F.array(V.string_or_null(value))).otherwise(listed)
+
+
+def cache_key_parts(payload: Column, provider: Column | str, recent: int = 2) -> Column:
+    """``struct(user_text, system_text)``: text of the last user turns (0: all), and the instructions."""
+    provider = _col(provider)
+    gemini = provider == "gemini"
+    name = F.when(gemini, V.at(payload, "$.contents")).otherwise(V.at(payload, "$.messages"))
+
+    def by_turn(turns: Column) -> Column:
+        role = lambda m: V.string_or_null(m, "$.role")
+        silent = lambda m: F.coalesce(V.kind(V.at(m, "$.role")) == "VOID", ~V.has(m, "$.role"))
+        users = F.filter(
+            turns,
+            lambda m: F.coalesce(role(m) == "user", F.lit(False))
+            | (gemini & V.is_object(m) & (F.coalesce(role(m) == "", F.lit(False)) | silent(m))),
+        )
+        kept = F.slice(users, F.greatest(F.size(users) - recent + 1, F.lit(1)), recent) if recent > 0 else users
+
+        def spoken(m: Column) -> Column:
+            content = V.at(m, "$.content")
+            listed = F.flatten(F.transform(V.items(content), lambda x: _item_texts(x)))
+            parts = F.filter(
+                F.transform(V.items(m, "$.parts"), lambda x: F.coalesce(V.string_or_null(x), V.string_or_null(x, "$.text"))),
+                lambda t: t.isNotNull(),
+            )
+            chat = (
+                F.when(V.is_array(content), listed)
+                .when(V.is_string(content) | V.is_object(content), _item_texts(content))
+                .when(V.kind(content) != "VOID", F.array(F.to_json(content)))
+                .otherwise(F.array().cast("array<string>"))
+            )
+            return F.when(gemini, parts).otherwise(chat)
+
+        said = F.flatten(F.transform(kept, spoken))
+        prompt = V.string_or_null(payload, "$.prompt")
+        said = bind(said, lambda t: F.when(F.size(t) > 0, F.array_join(t, " ")).otherwise(F.coalesce(prompt, F.lit(""))))
+        ruled = F.flatten(
+            F.transform(
+                F.filter(turns, lambda m: F.coalesce(role(m) == "system", F.lit(False))),
+                lambda m: _plain_texts(V.at(m, "$.content")),
+            )
+        )
+        top = V.at(payload, "$.system")
+        first = V.at(payload, "$.system_instruction")
+        rule = F.when(V.truthy(first), first).otherwise(V.at(payload, "$.systemInstruction"))
+        parts = V.at(rule, "$.parts")
+        by_rule = F.when(V.is_string(rule), F.array(V.string_or_null(rule))).when(
+            parts.isNull() | V.is_array(parts), _plain_texts(parts)
+        )
+        own = F.when(V.is_object(top), F.array_compact(F.array(V.string_or_null(top, "$.text")))).otherwise(_plain_texts(top))
+        alone = F.filter(F.array(V.string_or_null(rule, "$.text")), lambda t: t.isNotNull())
+        texts = (
+            F.when(gemini, F.coalesce(by_rule, alone))
+            .when(provider == "anthropic", own)
+            .when(F.size(ruled) > 0, ruled)
+            .otherwise(_plain_texts(top))
+        )
+        return F.struct(said.alias("user_text"), strip(F.array_join(texts, " ")).alias("system_text"))
+
+    return bind(V.items(name), by_turn)

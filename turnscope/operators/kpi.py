@@ -85,12 +85,27 @@ def total_turns() -> Column:
     return F.coalesce(F.nullif(ids, F.lit(0)), F.count(F.lit(1)))
 
 
-def kpi_summary(rows: DataFrame, source: str = "offline_wire_log", by: list[str] | None = None) -> DataFrame:
-    """Reduce readings to one row (or one per ``by``)."""
+def distinct_turns(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Number of distinct turn ids, on the id columns alone."""
+    ids = rows.filter(F.col("turn_id").isNotNull()).select(*by, "turn_id", "turn_id_type").distinct()
+    return ids.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct_turns"))
+
+
+def kpi_summary(
+    rows: DataFrame, source: str = "offline_wire_log", by: list[str] | None = None, exact_turns: bool = True
+) -> DataFrame:
+    """Reduce readings to one row (or one per ``by``).
+
+    Every counter is a plain aggregate, so a task ships one row. Distinct turns are counted apart: inside
+    the same aggregate they would make every counter travel once per turn id. Without ``exact_turns``
+    they are estimated in the same pass, with no shuffle of ids at all.
+    """
     c = F.col
+    by = by or []
     hits = F.sum(c("is_hit").cast("bigint"))
+    estimate = F.approx_count_distinct(F.when(c("turn_id").isNotNull(), F.xxhash64("turn_id", "turn_id_type")))
     aggregates = [
-        total_turns().alias("total_turns"),
+        *([] if exact_turns else [estimate.alias("distinct_turns")]),
         F.count(F.lit(1)).alias("total_requests"),
         F.coalesce(hits, F.lit(0)).alias("cache_hits"),
         F.sum("tool_outputs_omitted").alias("tool_calls_pruned"),
@@ -113,7 +128,13 @@ def kpi_summary(rows: DataFrame, source: str = "offline_wire_log", by: list[str]
         F.sum("cache_creation").alias("total_cache_creation_tokens"),
         F.sum("reasoning").alias("total_reasoning_tokens"),
     ]
-    reduced = rows.groupBy(*(by or [])).agg(*aggregates).filter(c("total_requests") > 0)
+    reduced = rows.groupBy(*by).agg(*aggregates).filter(c("total_requests") > 0)
+    if exact_turns and by:
+        reduced = reduced.join(distinct_turns(rows, by), by, "left")
+    elif exact_turns:
+        reduced = reduced.withColumn("distinct_turns", distinct_turns(rows, []).scalar())
+    known = F.nullif(c("distinct_turns"), F.lit(0).cast("bigint"))
+    reduced = reduced.withColumn("total_turns", F.coalesce(known, c("total_requests"))).drop("distinct_turns")
     rounded = [
         F.bround(c(f.name), 2).alias(f.name) if f.dataType.typeName() == "double" else c(f.name)
         for f in reduced.schema

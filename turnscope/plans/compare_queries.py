@@ -225,29 +225,32 @@ def paired_parity(spark, folder):
 NOW, TTL = 10_000_000.0, 604_800.0
 WORDS_SQL = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
 
-# Documents with an even id are stored, all are asked for; the provider is the language. The age grows
-# with the id and passes the TTL for every seventh one.
+# Every document is stored and asked for; every second question has words of its own. The provider is
+# the language. The age grows with the id and passes the time to live for every seventh document.
 STORE_SQL = f"""
 prompts as (
   select doc_id, lang as provider, text, {WORDS_SQL} as words, doc_id % 3 as sys,
     {NOW} - doc_id * 0.001 - case when doc_id % 7 = 0 then 700000 else 0 end as created_at from documents),
+asked as (select doc_id, lang as provider, doc_id % 3 as sys, case when doc_id % 2 = 1 then text || ' again please' else text end as text from documents),
+probes as (select *, {WORDS_SQL} as words from asked),
 latest as (
-  select provider, text, sys, max(created_at) as created_at, arg_max(doc_id, created_at) as doc_id, min(doc_id) as first_doc
-  from prompts where doc_id % 2 = 0 group by provider, text, sys),
+  select provider, text, sys, max(created_at) as created_at, arg_max(doc_id, created_at) as doc_id from prompts group by provider, text, sys),
 store as (select l.*, p.words from latest l join prompts p on p.doc_id = l.doc_id),
 fresh as (select * from store where created_at >= {NOW - TTL})"""
 
 
-def prompts(spark, folder):
+def prompts(spark, folder, asked=False):
+    """Documents as prompts: as they are stored, or as they are ``asked``."""
     d = table(spark, folder, "documents", spread=True)
     i = F.col("doc_id")
     old = F.when(i % 7 == 0, 700000).otherwise(0)
+    text = F.when(F.lit(asked) & (i % 2 == 1), F.concat("text", F.lit(" again please"))).otherwise(F.col("text"))
     shaped = d.select(
         i.alias("probe_id"),
         F.col("lang").alias("provider"),
-        F.col("text"),
+        text.alias("text"),
         F.concat(F.lit("system "), i % 3).alias("system"),
-        F.to_json(F.struct(F.concat(F.lit("system "), i % 3).alias("a"), F.col("text").alias("b"))).alias("json"),
+        F.to_json(F.struct(F.concat(F.lit("system "), i % 3).alias("a"), text.alias("b"))).alias("json"),
         (F.lit(NOW) - i * F.lit(0.001).cast("double") - old).alias("created_at"),
         F.format_string('{"answer":%d}', i).alias("response_json"),
     )
@@ -255,7 +258,7 @@ def prompts(spark, folder):
 
 
 def store(spark, folder):
-    p = prompts(spark, folder).filter("probe_id % 2 = 0").drop("probe_id")
+    p = prompts(spark, folder).drop("probe_id")
     empty = p.limit(0).withColumn("hit_count", F.lit(0).cast("bigint"))
     return upsert(empty, p)
 
@@ -264,15 +267,15 @@ def store(spark, folder):
     "store_upsert",
     f"""with {STORE_SQL},
     rows as (
-      select provider, sys, text, created_at, doc_id, case when doc_id % 4 = 0 then 0 else 1 end as is_new from prompts where doc_id % 2 = 0)
+      select provider, sys, text, created_at, doc_id, case when doc_id % 4 = 0 then 0 else 1 end as is_new from prompts)
     select sha256(provider || ':' || sys || text) as id, case when min(is_new) = 0 then 5 else 0 end as hit_count,
       count(*) as puts, round_even(arg_max(created_at, row(is_new, created_at)), 3) as created_at,
       '{{"answer":' || arg_max(doc_id, row(is_new, created_at)) || '}}' as response_json
     from rows group by provider, sys, text""",
 )
 def store_upsert(spark, folder):
-    p = prompts(spark, folder).filter("probe_id % 2 = 0")
-    # The first half is the store as it is (one row per key), the second half are the puts.
+    p = prompts(spark, folder)
+    # Every fourth document is in the store already (one row per key), the others are the puts.
     old = p.filter("probe_id % 4 = 0").drop("probe_id")
     base = upsert(old.limit(0).withColumn("hit_count", F.lit(0).cast("bigint")), old).withColumn(
         "hit_count", F.lit(5).cast("bigint")
@@ -321,10 +324,10 @@ def ttl_prune(spark, folder):
 @query(
     "cache_exact",
     f"""with {STORE_SQL} select p.doc_id as probe_id, '{{"answer":' || f.doc_id || '}}' as response
-    from prompts p left join fresh f on f.provider = p.provider and f.text = p.text and f.sys = p.sys""",
+    from probes p left join fresh f on f.provider = p.provider and f.text = p.text and f.sys = p.sys""",
 )
 def cache_exact(spark, folder):
-    found = M.exact_matches(prompts(spark, folder), store(spark, folder), NOW, TTL)
+    found = M.exact_matches(prompts(spark, folder, asked=True), store(spark, folder), NOW, TTL)
     return found.select("probe_id", F.col("exact_response").alias("response"))
 
 
@@ -332,7 +335,7 @@ SIMILAR_SQL = f"""{STORE_SQL},
 candidates as (select * from fresh qualify row_number() over (partition by provider order by created_at desc) <= $limit),
 pairs as (
   select p.doc_id as probe_id, c.doc_id, c.created_at, len(list_intersect(p.words, c.words)) as common, len(p.words) as a, len(c.words) as b
-  from prompts p join candidates c on c.provider = p.provider and c.sys = p.sys
+  from probes p join candidates c on c.provider = p.provider and c.sys = p.sys
   where len(p.words) > 0 and least(len(p.words), len(c.words)) >= 0.85 * greatest(len(p.words), len(c.words))),
 hits as (
   select probe_id, doc_id, common / (a + b - common) as similarity from pairs
@@ -342,10 +345,10 @@ hits as (
 @query(
     "cache_semantic",
     f"""with {SIMILAR_SQL.replace('$limit', '100')} select p.doc_id as probe_id, '{{"answer":' || h.doc_id || '}}' as response, round_even(similarity, 6) as similarity
-    from prompts p left join hits h on h.probe_id = p.doc_id""",
+    from probes p left join hits h on h.probe_id = p.doc_id""",
 )
 def cache_semantic(spark, folder):
-    found = M.similar_matches(prompts(spark, folder), store(spark, folder), NOW, TTL)
+    found = M.similar_matches(prompts(spark, folder, asked=True), store(spark, folder), NOW, TTL)
     return found.select(
         "probe_id", F.col("similar_response").alias("response"), F.bround("similarity", 6).alias("similarity")
     )
@@ -354,10 +357,10 @@ def cache_semantic(spark, folder):
 @query(
     "cache_semantic_unbounded",
     f"""with {SIMILAR_SQL.replace('$limit', '1000000000')} select p.doc_id as probe_id, '{{"answer":' || h.doc_id || '}}' as response,
-    round_even(similarity, 6) as similarity from prompts p left join hits h on h.probe_id = p.doc_id""",
+    round_even(similarity, 6) as similarity from probes p left join hits h on h.probe_id = p.doc_id""",
 )
 def cache_semantic_unbounded(spark, folder):
-    found = M.similar_matches_unbounded(prompts(spark, folder), store(spark, folder), NOW, TTL)
+    found = M.similar_matches_unbounded(prompts(spark, folder, asked=True), store(spark, folder), NOW, TTL)
     return found.select(
         "probe_id", F.col("similar_response").alias("response"), F.bround("similarity", 6).alias("similarity")
     )
@@ -367,7 +370,7 @@ LOOKUP_SQL = f"""{SIMILAR_SQL.replace('$limit', '100')},
 answers as (
   select p.doc_id as probe_id, case when f.doc_id is not null then 'EXACT' when h.doc_id is not null then 'SEMANTIC' else 'MISS' end as hit_type,
     coalesce(f.doc_id, h.doc_id) as answer
-  from prompts p left join fresh f on f.provider = p.provider and f.text = p.text and f.sys = p.sys left join hits h on h.probe_id = p.doc_id)"""
+  from probes p left join fresh f on f.provider = p.provider and f.text = p.text and f.sys = p.sys left join hits h on h.probe_id = p.doc_id)"""
 
 
 @query(
@@ -375,7 +378,7 @@ answers as (
     f"""with {LOOKUP_SQL} select probe_id, hit_type, '{{"answer":' || answer || '}}' as answer_json from answers""",
 )
 def cache_lookup(spark, folder):
-    found = M.cache_lookup(prompts(spark, folder), store(spark, folder), NOW, TTL)
+    found = M.cache_lookup(prompts(spark, folder, asked=True), store(spark, folder), NOW, TTL)
     return found.select("probe_id", "hit_type", "answer_json")
 
 
@@ -385,7 +388,7 @@ def cache_lookup(spark, folder):
 )
 def cache_hit_counts(spark, folder):
     entries = store(spark, folder)
-    found = M.cache_lookup(prompts(spark, folder), entries, NOW, TTL)
+    found = M.cache_lookup(prompts(spark, folder, asked=True), entries, NOW, TTL)
     counted = add_hits(entries, M.count_hits(found))
     entry = F.try_variant_get(F.parse_json("response_json"), "$.answer", "bigint")
     return counted.select(entry.alias("entry"), "hit_count")

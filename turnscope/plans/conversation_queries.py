@@ -548,3 +548,40 @@ def json_length(spark, folder):
     d = table(spark, folder, "documents", spread=True)
     text = F.to_json(F.struct(F.array(F.lit(1), F.lit(2)).alias("a"), "text"))
     return d.select("doc_id", V.dumps_length(text).alias("chars"))
+
+
+# --- key parts of whole requests ------------------------------------------------------------------------
+
+
+def _parts_sql(role, is_user, system, text="line"):
+    return f"""with {TURNS_SQL}, r as (select *, {role} as role from turns),
+    u as (select *, row_number() over (partition by payload_id order by turn_idx desc) as k from r where {is_user}),
+    t as (select payload_id, string_agg({text}, ' ' order by turn_idx) as user_text from u where k <= 2 group by payload_id)
+    select d.payload_id, coalesce(user_text, '') as user_text, {system} as system_text from docs d left join t using (payload_id)"""
+
+
+def _key_parts(spark, folder, provider):
+    r = requests(spark, folder, provider)
+    k = C.cache_key_parts(F.col("payload"), provider)
+    return r.select("payload_id", k.alias("k")).select("payload_id", "k.user_text", "k.system_text")
+
+
+@query("cache_key_parts_anthropic", _parts_sql(ROLE_SQL, "role = 'user'", "'Review the text.'"))
+def cache_key_parts_anthropic(spark, folder):
+    return _key_parts(spark, folder, "anthropic")
+
+
+@query("cache_key_parts_openai", _parts_sql(OPENAI_ROLE_SQL, "role = 'user'", "trim(d.ls[1])"))
+def cache_key_parts_openai(spark, folder):
+    return _key_parts(spark, folder, "openai")
+
+
+@query(
+    "cache_key_parts_gemini",
+    f"""with {TURNS_SQL},
+    u as (select *, row_number() over (partition by payload_id order by turn_idx desc) as k from turns where turn_idx % 2 = 0),
+    t as (select payload_id, string_agg(line, ' ' order by turn_idx) as user_text from u where k <= 2 and turn_idx % 4 = 0 group by payload_id)
+    select d.payload_id, coalesce(user_text, '') as user_text, '' as system_text from docs d left join t using (payload_id)""",
+)
+def cache_key_parts_gemini(spark, folder):
+    return _key_parts(spark, folder, "gemini")

@@ -147,6 +147,24 @@ def sink_wire_log(spark, folder):
     )
 
 
+@query(
+    "scan_trace_dir",
+    f"""with {TX_SQL} select mode, provider, count(*) as records from tx group by all""",
+)
+def scan_trace_dir(spark, folder):
+    from turnscope.session import work_dir
+    from turnscope.sources.traces import read_trace_dir
+
+    # The CSV writer with separators that no line holds writes text with a file suffix of one's own.
+    path = work_dir(spark, "traces")
+    lines = wire_lines(spark, folder).select("value", (F.col("ordinal") % 3).alias("run"))
+    raw = {"sep": "\x01", "quote": "\x00", "escape": "\x00", "extension": "jsonl"}
+    lines.write.options(**raw).partitionBy("run").csv(path)
+    t = read_trace_dir(spark, path)
+    get = lambda k: F.try_variant_get("tx", f"$.{k}", "string").alias(k)
+    return t.groupBy(get("mode"), get("provider")).agg(F.count(F.lit(1)).alias("records"))
+
+
 # --- numbers, row by row ------------------------------------------------------------------------------
 
 

@@ -304,7 +304,7 @@ def _tests(spark, folder):
         o.groupBy(F.concat(F.lit("c::"), F.col("o_orderkey") % 40).alias("test"))
         .agg((F.sum("o_totalprice") / 1e6).alias("seconds"))
         .unionByName(table(spark, folder, "region").select(F.concat(F.lit("d::"), "r_regionkey").alias("test"), F.lit(1.0).alias("seconds")))
-        .unionByName(o.agg(F.lit("a::one").alias("test"), F.lit(9000.0).alias("seconds")))
+        .unionByName(o.agg(F.min(F.lit("a::one")).alias("test"), F.min(F.lit(9000.0)).alias("seconds")))
     )
     return current, G.test_medians(newest)
 
@@ -589,3 +589,26 @@ def evidence_score(spark, folder):
         "l_suppkey", F.bround("posterior_mean", 6).alias("posterior_mean"), F.bround("wilson_lower", 6).alias("wilson_lower")
     )
 
+
+@query(
+    "scan_ledger",
+    """select 'P-' || o_orderkey as plan, round_even(0.9 * o_totalprice / 1000 - 2.5, 6) as ev, case when o_orderkey % 4 = 0 then 'note' end as note from orders""",
+)
+def scan_ledger(spark, folder):
+    from turnscope.session import work_dir
+    from turnscope.sources.files import scan_ledger as read
+
+    # One forecast per order, written as a ledger of JSON lines and read back; null keys are left out.
+    o = table(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    path = work_dir(spark, "ledger")
+    o.select(
+        F.concat(F.lit("P-"), key).alias("plan"),
+        F.lit(0.9).alias("probability"),
+        (F.col("o_totalprice") / 1000).alias("impact"),
+        F.lit(2.5).alias("cost"),
+        F.when(key % 4 == 0, "note").alias("note"),
+    ).write.json(path)
+    ledger = read(spark, path)
+    ev = D.expected_value(F.col("probability"), F.col("impact"), F.lit(0.0), F.lit(0.0), F.col("cost"))
+    return ledger.select("plan", F.bround(ev, 6).alias("ev"), "note")

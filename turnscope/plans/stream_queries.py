@@ -52,20 +52,8 @@ def stream_flow_timing(spark, folder):
     e = stream(spark, folder, "events")
     chunks = e.select(F.col("user_id").alias("flow_id"), "ts", F.length("props").alias("bytes"))
     path = work_dir(spark, "flows")
-    windows = live.flow_windows(chunks)
-
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    q = (
-        windows.writeStream.outputMode("complete")
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{path}-checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return live.latest_snapshot(spark, path)
+    live.stream_flow_windows(chunks, path, f"{path}-checkpoint").awaitTermination()
+    return live.latest_flows(spark, path)
 
 
 @query(
@@ -92,7 +80,7 @@ def stream_kpi(spark, folder):
 @query(
     "stream_exchange",
     f"""select event_id as flow_id, {PROVIDER_SQL} as provider, ts as asked_at, ts + to_milliseconds(event_id % 1000) as answered_at, event_id % 7 as status
-    from events where event_id % 3 <> 2 and event_type <> 'view' and event_id % 4 <> 3""",
+    from events where event_id % 3 <> 2 and event_type not in ('view', 'error')""",
 )
 def stream_exchange(spark, folder):
     i = F.col("event_id")
@@ -103,7 +91,7 @@ def stream_exchange(spark, folder):
     later = F.timestamp_micros(F.unix_micros("ts") + (i % 1000) * 1000)
     replies = (
         stream(spark, folder, "events")
-        .filter(i % 4 != 3)
+        .filter(F.col("event_type") != "error")
         .select(i.alias("flow_id"), later.alias("answered_at"), (i % 7).alias("status"))
     )
     return _append(live.correlate(requests, replies).drop("cached"), spark, "exchange")

@@ -183,8 +183,8 @@ def sse_text_gemini(spark, folder):
 # --- response objects ---------------------------------------------------------------------------------
 
 
-def replies(spark, folder):
-    """Every event as a response object of its provider; some report no usage."""
+def replies(spark, folder, only=None):
+    """Every event as a response object of its provider (or of ``only``); some report no usage."""
     e = table(spark, folder, "events", spread=True)
     i = F.col("event_id")
     tokens = F.floor(F.col("value") * 100).cast("bigint")
@@ -210,7 +210,7 @@ def replies(spark, folder):
         F.when(no_output, "").otherwise(F.format_string(',"candidatesTokenCount":%d', i % 100)),
         F.format_string(',"cachedContentTokenCount":%d,"reasoningTokenCount":%d}}', i % 9, i % 5),
     )
-    provider = provider_of(i)
+    provider = F.lit(only) if only else provider_of(i)
     quoted = F.replace("props", F.lit('"'), F.lit("'"))
     rows = e.withColumn("props", quoted).withColumn("provider", provider)
     return rows.select(
@@ -233,8 +233,7 @@ REPLY_COLUMNS = """
 
 
 def _object_usage(spark, folder, provider):
-    # The anthropic text also counts its block type; the estimate reads text keys only.
-    rows = replies(spark, folder).filter(F.col("provider") == provider).withColumn("response", F.parse_json("response_json"))
+    rows = replies(spark, folder, provider).withColumn("response", F.parse_json("response_json"))
     rows = U.object_usage(rows, "response", "provider", "request_json", "response_json")
     return rows.select("event_id", *[f"usage.{n}" for n in U.FIELDS])
 
@@ -242,7 +241,7 @@ def _object_usage(spark, folder, provider):
 def _register_object_usage(provider):
     @query(
         f"usage_{provider}",
-        f"with {REPLY_SQL} select event_id, {REPLY_COLUMNS} from r where provider = '{provider}'",
+        f"with {REPLY_SQL}, one as (select * replace ('{provider}' as provider) from r) select event_id, {REPLY_COLUMNS} from one",
     )
     def run(spark, folder):
         return _object_usage(spark, folder, provider)

@@ -32,6 +32,30 @@ def flow_windows(chunks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
+def stream_flow_windows(chunks: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
+    """Write the flows that changed with every micro-batch; the state is one row per flow."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return (
+        flow_windows(chunks, delay)
+        .writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_flows(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of every flow."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in ("flow_id", "version")]
+    newest = F.max_by(F.struct(*values), "version").alias("v")
+    return rows.groupBy("flow_id").agg(newest).select("flow_id", "v.*")
+
+
 def buffered_chunks(chunks: DataFrame, position: str, limit: int = BUFFER_LIMIT) -> DataFrame:
     """The chunks a buffer of ``limit`` bytes keeps; later ones still count for the timing."""
     sized = running_sum(chunks, ["flow_id"], position, {"_filled": F.col("bytes")})
