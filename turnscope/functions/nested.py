@@ -24,10 +24,6 @@ def indexes(array: Column) -> Column:
     )
 
 
-def empty_like(array: Column) -> Column:
-    return F.slice(array, F.lit(1), F.lit(0))
-
-
 def part(array: Column, start: Column, stop: Column) -> Column:
     """Elements ``start`` (0-based) up to but without ``stop``."""
     return F.slice(array, start + 1, F.greatest(stop - start, F.lit(0)))

@@ -278,6 +278,9 @@ def offline_scorecard(
 def paired_scorecard(
     baseline: DataFrame, optimized: DataFrame, position: str, rounds: int = 1, fail_under: float | None = None
 ) -> DataFrame:
+    """Score two recorded runs; a run without any turn is an error."""
+    if baseline.isEmpty() or optimized.isEmpty():
+        raise ValueError("both runs need at least one turn")
     return scorecard(
         paired_turns(pair_by_position(baseline, optimized, position)), rounds, fail_under, "Real Intercepted Traffic"
     )

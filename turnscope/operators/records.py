@@ -159,6 +159,14 @@ def strip_vendor_headers(headers: Column) -> Column:
     return F.map_filter(headers, lambda k, _: F.lower(k) != "anthropic-beta")
 
 
+def for_local_target(clean: Column, is_local: Column) -> Column:
+    """A cleaning result as sent to a local target: vendor fields gone, so no marker counts as injected."""
+    bare = clean.withField("cleaned", strip_vendor_fields(V.parse(clean["cleaned"]))).withField(
+        "cache_control_injected", F.lit(0).cast("bigint")
+    )
+    return F.when(is_local, bare).otherwise(clean)
+
+
 def wire_record(
     exchanges: DataFrame, names: dict[str, str] = fixed.HEADER_NAMES, default_passive: bool = False
 ) -> DataFrame:

@@ -6,8 +6,6 @@ shuffled to reassemble it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -366,8 +364,3 @@ def reply_content(body: Column, response_json: Column, provider: Column) -> Colu
     return F.when(body.isNotNull(), bind(stream_events(body), lambda e: stream_text(e, provider))).otherwise(
         response_json
     )
-
-
-def first_of(*columns: Column) -> Column:
-    """The first value that is neither NULL nor 0."""
-    return reduce(lambda a, b: F.coalesce(F.nullif(a, F.lit(0)), b), columns)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnscope.functions import text as X
-from turnscope.functions import variants as V
 from turnscope.operators import abtest as A
 from turnscope.operators import matching as M
 from turnscope.operators.conversation import CleanOptions

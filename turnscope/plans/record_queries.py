@@ -414,7 +414,7 @@ def timing_project(spark, folder):
 
 @query(
     "strip_vendor_fields",
-    """select doc_id, 3 as keys, false as any_marker, text as first_text, 'x' as system_text from documents""",
+    """select doc_id, 3 as keys, false as any_marker, text as first_text, 'x' as system_text, 1 as headers from documents""",
 )
 def strip_vendor_fields(spark, folder):
     d = table(spark, folder, "documents", spread=True)
@@ -433,6 +433,28 @@ def strip_vendor_fields(spark, folder):
         F.contains("j", F.lit('"cache_control"')).alias("any_marker"),
         V.text_of(v, "$.messages[0].content[0].text").alias("first_text"),
         V.text_of(v, "$.system[0].text").alias("system_text"),
+        F.size(R.strip_vendor_headers(F.create_map(F.lit("Anthropic-Beta"), "j", F.lit("Accept"), "j"))).alias("headers"),
+    )
+
+
+@query(
+    "clean_for_local_target",
+    """select doc_id as payload_id, doc_id % 3 = 0 as is_local, cast(case when doc_id % 3 = 0 then 0
+    when len(string_split(text, chr(10))) < 2 and doc_id % 4 <> 0 then 2 else 3 end as bigint) as cache_control_injected,
+    doc_id % 3 <> 0 as any_marker from documents""",
+)
+def clean_for_local_target(spark, folder):
+    from turnscope.operators.conversation import CleanOptions, clean_payload
+    from turnscope.plans.views import requests
+
+    r = clean_payload(requests(spark, folder, "anthropic"), "payload", "provider", CleanOptions(max_turns=1_000_000))
+    local = F.col("payload_id") % 3 == 0
+    sent = r.select("payload_id", local.alias("is_local"), R.for_local_target(F.col("clean"), local).alias("c"))
+    return sent.select(
+        "payload_id",
+        "is_local",
+        "c.cache_control_injected",
+        F.contains("c.cleaned", F.lit('"cache_control":{"type":"ephemeral"}')).alias("any_marker"),
     )
 
 
