@@ -103,11 +103,12 @@ def _cut(window: int):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             removed, kept = [], []
-            for blob, found in zip(batch.column(2).to_pylist(), batch.column(3)):
+            rows = zip(batch.column(2).to_pylist(), *[batch.column(k) for k in (3, 4, 5)])
+            for blob, starts, hashes, again in rows:
                 words = unpack.decompress(blob).split(b" ")
                 edge = np.zeros(len(words) + 1, np.int32)
-                at = np.unique(found.values.to_numpy())
-                edge[at] += 1
+                at = starts.values.to_numpy()[np.isin(hashes.values.to_numpy(), again.values.to_numpy())]
+                edge[at] += 1  # starts are distinct
                 edge[at + window] -= 1
                 stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                 removed.append(len(words) - len(stay))
@@ -156,18 +157,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .mapInArrow(_extend(window), "doc_id bigint, seq binary, blob binary, starts array<int>, hashes array<bigint>"),
         "substr-windows",
     )
-    full = near.select("doc_id", "seq", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select(
-        "doc_id", "seq", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash")
-    )
+    # Once per document, however often a passage repeats inside it.
+    full = near.select("doc_id", "seq", F.explode(F.array_distinct("hashes")).alias("hash"))
     earliest = full.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     hits = (
         full.join(earliest.select("hash", "low"), "hash")
         .where("doc_id > low")
         .groupBy("doc_id", "seq")
-        .agg(F.collect_list("start").alias("starts"))
+        .agg(F.collect_list("hash").alias("again"))
     )
     cut = (
-        near.select("doc_id", "seq", "blob").dropDuplicates(["doc_id", "seq"])
+        near.dropDuplicates(["doc_id", "seq"]).select("doc_id", "seq", "blob", "starts", "hashes")
         .join(hits, ["doc_id", "seq"])
         .mapInArrow(_cut(window), "doc_id bigint, seq binary, n_removed bigint, kept string")
     )
