@@ -121,9 +121,11 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, entries: int = ENTRIES, l
     fixed size however large the table is.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", "text")
-    per_lang = rows.groupBy("lang").agg(F.count("*").alias("docs"))
+    # One number for each language; the model has a column for each.
+    per_lang = rows.groupBy("lang").agg(F.count("*").alias("docs")).collect()
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
-    picked = rows.join(per_lang, "lang").where(chance * F.col("docs") < fit_docs)
+    docs = F.element_at(F.create_map(*[F.lit(x) for r in per_lang for x in r] or [F.lit(""), F.lit(0)]), F.col("lang"))
+    picked = rows.where(chance * docs < fit_docs)
     words = stored(
         picked.select("lang", "text").mapInArrow(_count, "lang string, word string, n bigint")
         .groupBy("lang", "word").agg(F.sum("n").alias("n")),
