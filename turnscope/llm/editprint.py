@@ -12,6 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnscope.llm.support import small_batches
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Samples of the embedding: from half of CELLS (a text just over a power of two) to all of them.
@@ -210,6 +212,7 @@ def fingerprints(docs: DataFrame, buckets: int | None = None, seed: int = 11, ch
     sorted inside; the first document of each range also goes to the range before as a guard.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     parts = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)

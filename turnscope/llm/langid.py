@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnscope.llm.support import stored
+from turnscope.llm.support import small_batches, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -86,7 +86,7 @@ class Model:
         found = self.seen.get(word)
         if found is None:
             found = self._backed_off(word)
-            if len(self.seen) >= 300_000:
+            if len(self.seen) >= 100_000:
                 self.seen.clear()
             self.seen[word] = found
         return found
@@ -120,6 +120,7 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, entries: int = ENTRIES, l
     the language's count), and the ``entries`` most frequent words and n-grams of each length, so that the model has a
     fixed size however large the table is.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", "text")
     # One number for each language; the model has a column for each.
     per_lang = rows.groupBy("lang").agg(F.count("*").alias("docs")).collect()
@@ -183,6 +184,7 @@ def identified(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
     code point. ``score`` is its share of the probability, 0 to 1. A null text and one without letters are ``und`` with
     score 0. Columns but ``text`` play no part. The model has a fixed number of entries and is broadcast.
     """
+    small_batches(docs.sparkSession)
     # Plain data travels, since executors may have no copy of the class.
     tables = [(list(t), np.array(list(t.values()), np.float32).reshape(len(t), len(model.langs))) for t in model.tables]
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, tables))

@@ -14,7 +14,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnscope.llm.support import stored
+from turnscope.llm.support import small_batches, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -37,7 +37,7 @@ class WordTokens:
     special token go to the tokenizer whole.
     """
 
-    LIMIT = 400_000
+    LIMIT = 300_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -213,6 +213,7 @@ def packed(
     sequences (``OpenBins``). What is still open when a task ends is packed once more, the pieces of ``merge`` tasks
     together, so that few sequences end half full. A task's memory is its open sequences and the word table.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     first = stored(rows.mapInArrow(_pack_texts(tokenizer_path, length, open_bins, end), _SCHEMA), "packing")
     rest = (

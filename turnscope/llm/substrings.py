@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnscope.llm.support import WordHashes, Windows, stored, texts_of
+from turnscope.llm.support import WordHashes, Windows, small_batches, stored, texts_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -138,6 +138,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     that repeat a ``doc_id`` are one document: they do not remove each other's words. Other columns are ignored.
     Hashes have 64 bits for windows and 128 for whole texts.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     seen = stored(
         docs.mapInArrow(

@@ -25,6 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="llm-tables-"))
 
 
+# Rows sent to Python at once: texts may be long, and two workers share an executor's memory.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it: cuts the lineage and outlives any executor."""
     spark = df.sparkSession
@@ -36,7 +45,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, kept for the words seen last; at most ``LIMIT`` of them."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
