@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -127,7 +128,7 @@ def balanced(sizes: DataFrame, wanted: DataFrame, most: int = MOST, close: float
 
 
 def _round(most: int):
-    """Whole copies of a group's documents: each error in words is carried to the next, smaller document."""
+    """Whole copies of a group's documents, from the longest down: what a rate and the errors so far owe in words, rounded."""
 
     def rounded(table: pa.Table) -> pa.Table:
         size, rate = table.column("size").to_numpy(), table.column("rate").to_numpy()
@@ -135,9 +136,9 @@ def _round(most: int):
         copies, owed = np.zeros(len(size), np.int64), 0.0
         for i in order.tolist():
             owed += rate[i] * size[i]
-            low, n = int(rate[i]), int(size[i])
-            up = low + 1 if rate[i] > low and owed > (low + 0.5) * n else low
-            copies[i] = min(max(up, 0), most)
+            n = int(size[i])
+            wanted = owed / n if n else rate[i]
+            copies[i] = min(max(math.ceil(wanted - 0.5), 0), most)
             owed -= copies[i] * n
         columns = {c: table.column(c) for c in table.column_names if c not in ("rate", "pick", "source", "group")}
         return pa.table(columns | {"copies": pa.array(copies, pa.int64())})

@@ -99,7 +99,8 @@ def _card(text: Column, secret: str) -> Column:
 
 
 def _phone(text: Column, secret: str) -> Column:
-    """Area and exchange codes of 200 to 999 stay in that range; a leading 1 stays."""
+    """Area and exchange codes of 200 to 999 stay in that range; a leading 1 stays. What is written with +1 but has
+    other codes is moved among all ten digits."""
     digits = _digits(text)
     ten = F.substr(digits, F.length(digits) - 9, F.lit(10))
     area, office, line = F.substring(ten, 1, 3).cast("bigint"), F.substring(ten, 4, 3).cast("bigint"), F.substring(ten, 7, 4).cast("bigint")
@@ -108,7 +109,9 @@ def _phone(text: Column, secret: str) -> Column:
         F.substr(digits, F.lit(1), F.length(digits) - 10), _pad(F.floor(moved / 8000000) + 200, 3),
         _pad(F.pmod(F.floor(moved / 10000), F.lit(800)) + 200, 3), _pad(F.pmod(moved, F.lit(10000)), 4),
     )
-    return F.when((area >= 200) & (office >= 200), _into(text, new))
+    any_ = _pad(feistel(ten.cast("bigint"), 100000, 100000, secret, "phone-any"), 10)
+    other = F.concat(F.substr(digits, F.lit(1), F.length(digits) - 10), any_)
+    return F.when((area >= 200) & (office >= 200), _into(text, new)).when(text.startswith("+1"), _into(text, other))
 
 
 def _ssn(text: Column, secret: str) -> Column:
