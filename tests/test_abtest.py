@@ -9,7 +9,7 @@ from turnscope.functions.providers import register_provider, registered_cleaner
 from turnscope.operators import abtest as A
 from turnscope.operators.conversation import CleanOptions, clean_payload
 from turnscope.operators.protocol import candidate_response
-from turnscope.sources.traces import write_report
+from turnscope.sources.traces import read_trace, write_report
 
 DUMP = "line of a tool result. " * 180
 
@@ -114,6 +114,24 @@ def test_empty_run_is_an_error(spark):
         A.paired_scorecard(one, one.limit(0), "position")
 
 
+def test_default_ids(spark):
+    t = trace(spark, [{"turn_id": "no request"}, {**OFFLINE[0], "turn_id": ""}, OFFLINE[1]])
+    assert sorted(r.turn_id for r in A.offline_turns(t, rounds=2).collect()) == ["b", "b", "r1-t2", "r2-t2"]
+    one = {k: v for k, v in run("baseline", 1, 1, 1).items() if k != "turn_id"}
+    turns = A.paired_turns(trace(spark, [one, one]), trace(spark, [one, {**one, "turn_id": 7}]), "position")
+    assert sorted(r.turn_id for r in turns.collect()) == ["7", "r1-t1"]
+
+
+def test_two_logs_from_files(spark, tmp_path):
+    paths = []
+    for mode, tokens in (("baseline", 100), ("optimized", 60)):
+        path = tmp_path / f"{mode}.jsonl"
+        path.write_text("\n".join(json.dumps(run(mode, tokens, 1, 1)) for _ in range(5)))
+        paths.append(read_trace(spark, str(path)))
+    row = A.paired_scorecard(*paths, "ordinal").first()
+    assert (row.total_turns, row.baseline_input_tokens, row.optimized_input_tokens) == (5, 500, 300)
+
+
 def test_report(spark, tmp_path):
     path = str(tmp_path / "card")
     write_report(A.offline_scorecard(trace(spark, OFFLINE)), path)

@@ -43,6 +43,35 @@ def test_lookup_join_with_few_hot_keys(spark):
         assert (r.n, r.top) == ((None, None) if r.k == "k7" else (n[r.k], top[r.k]))
 
 
+def test_hot_and_null_keys_are_dealt(spark):
+    rows = [("hot" if i % 2 else None, i) for i in range(4000)] + [(f"k{i}", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, pos bigint")
+    per_key = df.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    found = lookup_join(df, per_key, ["k"], "n", ["pos"], count=1)
+    assert {(r.k, r.n) for r in found.select("k", "n").distinct().collect()} == {
+        (None, None), ("hot", 2000), *[(f"k{i}", 1) for i in range(40)]
+    }
+    assert found.count() == len(rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lookup_join(df, per_key, ["k"], "n", ["pos"], count=1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffles = [line for line in plan.splitlines() if "SortMergeJoin" in line or "hashpartitioning" in line]
+    assert any("SortMergeJoin" in line and "_salt" in line for line in shuffles), plan
+    assert sum("hashpartitioning" in line and "_salt" in line for line in shuffles) == 2, plan
+
+
+def test_index_without_keys_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr("turnscope.operators.ordered.BLOCK", 4)
+    places = random.Random(3).sample(range(1 << 20), 500)
+    df = spark.createDataFrame([(p,) for p in places], "pos bigint").repartition(5)
+    found = dense_index(df, [], "pos", "no", width=1 << 10).collect()
+    assert [r.pos for r in sorted(found, key=lambda r: r.no)] == sorted(places)
+    assert sorted(r.no for r in found) == list(range(500))
+
+
 def test_replay_against_a_walk(spark):
     rng = random.Random(11)
     rows, ttl = [], 50.0

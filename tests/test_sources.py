@@ -39,6 +39,33 @@ def test_arrays(spark, tmp_path):
         T.read_trace(spark, broken).collect()
 
 
+def test_each_file_is_tested(spark, tmp_path):
+    lines = write(tmp_path / "a b.jsonl", "\n".join(["", '{"id": 1}', "[7]", '{"id": 2, "id": 3}']))
+    array = write(tmp_path / "c.jsonl", '\n [{"id": 4},\n {"id": 5}]')
+    more = write(tmp_path / "d.jsonl", '{"id": 6}\n')
+    found = T.read_trace(spark, lines, array, more)
+    assert found.schema["ordinal"].dataType.simpleString() == "bigint"
+    assert ids(found) == [1, 3, 4, 5, 6]
+    assert ids(T.read_trace(spark, array, arrays=True)) == [4, 5]
+    assert ids(T.read_trace(spark, lines, more, arrays=False)) == [1, 3, 6]
+    write(tmp_path / "e.jsonl", '[{"id": 8}, ')
+    write(tmp_path / "turn_9.json", '{\n "id": 9}')
+    assert ids(T.read_trace_dir(spark, str(tmp_path))) == [1, 3, 4, 5, 6, 9]
+
+
+def test_order_over_many_splits(spark, tmp_path):
+    text = "\n".join(json.dumps({"id": i, "pad": "x" * (i % 50)}) for i in range(5000))
+    first, second = write(tmp_path / "a.jsonl", text), write(tmp_path / "b.jsonl", '{"id": 5000}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        found = T.read_trace(spark, second, first)
+        assert found.rdd.getNumPartitions() > 8
+        assert ids(found) == list(range(5001))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_empty_input_is_an_error(spark, tmp_path):
     path = write(tmp_path / "e.jsonl", "\n{bad\n")
     with pytest.raises(ValueError):

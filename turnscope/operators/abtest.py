@@ -78,10 +78,17 @@ def rounds_cross(df: DataFrame, rounds: int) -> DataFrame:
 
 
 def default_turn_id(turn_id: Column, round_no: Column, position: Column) -> Column:
+    """The logged id, unless it is absent, empty or 0: then ``r<round>-t<position>``."""
     usable = ~F.coalesce(turn_id.isin("", "0"), F.lit(False))
     return F.coalesce(F.when(usable, turn_id), F.format_string("r%d-t%d", round_no, position))
 
 
+def _named_rounds(turns: DataFrame, rounds: int) -> DataFrame:
+    """One row per turn and round, ids filled in; ``_no`` is the place of the turn, from 0."""
+    filled = default_turn_id(F.col("turn_id"), F.col("round"), F.col("_no") + 1)
+    return rounds_cross(turns, rounds).withColumn("turn_id", filled).drop("_no")
+
+
 # --- offline: clean a recorded trace again --------------------------------------------------------------
 
 
@@ -91,12 +98,27 @@ def offline_turns(
     tx: str = "tx",
     position: str = "position",
     cleaner: Callable[[DataFrame, str, str], DataFrame] | None = None,
+    rounds: int = 1,
 ) -> DataFrame:
-    """One row per transaction with a request: tokens and characters before and after cleaning.
+    """One row per round and transaction with a request: tokens and characters before and after cleaning.
 
     ``cleaner`` replaces the built-in one: it gets the frame, the payload column and the provider column,
-    and adds the struct ``clean`` that ``clean_payload`` adds.
+    and adds the struct ``clean`` that ``clean_payload`` adds. ``position`` is an integer in the order of the log; a
+    turn without an id is named after its round and its place among all transactions.
     """
+    metrics = _offline_metrics(transactions, options, tx, position, cleaner)
+    places = dense_index(transactions.select(position), [], position, "_no").withColumnRenamed(position, "position")
+    return _named_rounds(metrics.join(places, "position"), rounds)
+
+
+def _offline_metrics(
+    transactions: DataFrame,
+    options: CleanOptions,
+    tx: str,
+    position: str,
+    cleaner: Callable[[DataFrame, str, str], DataFrame] | None = None,
+) -> DataFrame:
+    """``offline_turns`` of one round with the ids as logged: a projection, without a shuffle."""
     t = F.col(tx)
     action = F.coalesce(
         F.nullif(V.text_of(t, "$.cache_action"), F.lit("")), V.text_of(t, "$.cache_status"), F.lit("")
@@ -147,61 +169,88 @@ def offline_turns(
 # --- paired: two recorded runs --------------------------------------------------------------------------
 
 
-def pair_by_position(
-    baseline: DataFrame, optimized: DataFrame, position: str, tx: str = "tx", width: int = WIDTH
-) -> DataFrame:
-    """The i-th baseline row with the i-th optimised row; the longer run loses its tail."""
-    left = dense_index(baseline.select(position, F.col(tx).alias("base_tx")), [], position, "pair_no", width)
-    right = dense_index(optimized.select(position, F.col(tx).alias("opt_tx")), [], position, "pair_no", width)
-    return left.drop(position).join(right.drop(position), "pair_no")
-
-
-def paired_turns(pairs: DataFrame) -> DataFrame:
-    """Compare what both runs recorded."""
-    b, o, c = F.col("base_tx"), F.col("opt_tx"), F.col
-    usage = V.at(o, "$.response.usage")
-    either = lambda path: F.coalesce(
-        F.nullif(V.text_of(o, path), F.lit("")), F.nullif(V.text_of(b, path), F.lit(""))
+def _side(run: DataFrame, position: str, tx: str, sent: bool) -> DataFrame:
+    """The few fields of a run that the comparison needs; whole transactions go no further."""
+    t = F.col(tx)
+    request = _sent(t) if sent else V.at(t, "$.raw_request")
+    raw = run.select(
+        F.col(position).alias("position"), t.alias("_tx"), request.alias("_request"), F.to_json(request).alias("_json")
     )
-    raw = pairs.select(
-        "pair_no",
-        "base_tx",
-        "opt_tx",
-        V.at(b, "$.raw_request").alias("_base"),
-        _sent(o).alias("_opt"),
-        F.to_json(V.at(b, "$.raw_request")).alias("_base_json"),
-        F.to_json(_sent(o)).alias("_opt_json"),
+    counted = with_chars(raw, "_request", "_json", "chars")
+    t, inner = F.col("_tx"), _inner(F.col("_request"))
+    usage = V.at(t, "$.response.usage")
+    text = lambda path: F.nullif(V.text_of(t, path), F.lit(""))
+    return counted.select(
+        "position",
+        F.nullif(text("$.turn_id"), F.lit("0")).alias("turn_id"),
+        text("$.provider").alias("provider"),
+        "chars",
+        _reported_tokens(t, F.col("chars")).alias("tokens"),
+        (
+            (F.upper(F.coalesce(V.text_of(t, "$.cache_action"), F.lit(""))) == "HIT")
+            | (V.whole_at(usage, "$.cache_read_input_tokens") > 0)
+        ).alias("is_hit"),
+        F.coalesce(
+            F.nullif(V.whole_or_null(t, "$.delta.tool_outputs_omitted"), F.lit(0)),
+            V.whole_at(t, "$.delta.tool_calls_pruned"),
+        ).alias("pruned"),
+        V.whole_at(t, "$.delta.cache_control_injected").alias("injected"),
+        F.coalesce(V.text_of(t, "$.response.status") == "200", F.lit(True)).alias("ok"),
+        V.is_object(inner).alias("is_object"),
+        V.has(inner, "$.messages").alias("messages"),
+        V.has(inner, "$.contents").alias("contents"),
+        V.number_at(t, "$.timing.ttft_ms").alias("ttft_ms"),
+        V.number_at(t, "$.timing.decode_tps").alias("decode_tps"),
     )
-    counted = with_chars(with_chars(raw, "_base", "_base_json", "baseline_chars"), "_opt", "_opt_json", "optimized_chars")
-    counted = counted.withColumn("baseline_input_tokens", _reported_tokens(b, c("baseline_chars")))
-    counted = counted.withColumn("optimized_input_tokens", _reported_tokens(o, c("optimized_chars")))
+
+
+def pair_by_position(baseline: DataFrame, optimized: DataFrame, position: str, width: int = WIDTH) -> DataFrame:
+    """The i-th baseline row with the i-th optimised row, as ``pair_no``, ``base`` and ``opt``; a tail is lost.
+
+    Rows are numbered and joined as they are given: pass narrow ones.
+    """
+
+    def numbered(run: DataFrame, name: str) -> DataFrame:
+        rows = run.select(position, F.struct(*run.columns).alias(name))
+        return dense_index(rows, [], position, "pair_no", width).drop(position)
+
+    return numbered(baseline, "base").join(numbered(optimized, "opt"), "pair_no")
+
+
+def paired_turns(
+    baseline: DataFrame, optimized: DataFrame, position: str = "ordinal", tx: str = "tx", rounds: int = 1
+) -> DataFrame:
+    """Compare what two runs recorded, turn by turn in the order of the integer ``position``; one row per round."""
+    return _named_rounds(_paired_metrics(baseline, optimized, position, tx), rounds)
+
+
+def _paired_metrics(baseline: DataFrame, optimized: DataFrame, position: str, tx: str) -> DataFrame:
+    pairs = pair_by_position(_side(baseline, position, tx, False), _side(optimized, position, tx, True), "position")
+    b, o, c = (lambda n: F.col(f"base.{n}")), (lambda n: F.col(f"opt.{n}")), F.col
     zero = F.lit(0).cast("bigint")
-    pruned = F.coalesce(
-        F.nullif(V.whole_or_null(o, "$.delta.tool_outputs_omitted"), F.lit(0)),
-        V.whole_at(o, "$.delta.tool_calls_pruned"),
-    )
-    hit = (F.upper(F.coalesce(V.text_of(o, "$.cache_action"), F.lit(""))) == "HIT") | (
-        V.whole_at(usage, "$.cache_read_input_tokens") > 0
-    )
-    return counted.select(
+    kept = lambda n: ~b(n) | o(n)
+    comparable = F.coalesce(b("is_object") & o("is_object"), F.lit(False))
+    less = lambda n: F.greatest(zero, b(n) - o(n))
+    return pairs.select(
+        c("pair_no").alias("_no"),
         (c("pair_no") + 1).alias("position"),
-        F.when(either("$.turn_id") != "0", either("$.turn_id")).alias("turn_id"),
-        F.lower(F.coalesce(either("$.provider"), F.lit("anthropic"))).alias("provider"),
-        hit.alias("is_hit"),
-        "baseline_input_tokens",
-        "optimized_input_tokens",
-        F.greatest(zero, c("baseline_input_tokens") - c("optimized_input_tokens")).alias("tokens_reduced"),
-        N.reduction_pct(c("baseline_input_tokens"), c("optimized_input_tokens")).alias("reduction_pct"),
-        "baseline_chars",
-        "optimized_chars",
-        F.greatest(zero, c("baseline_chars") - c("optimized_chars")).alias("chars_saved"),
-        pruned.alias("tool_calls_pruned"),
-        V.whole_at(o, "$.delta.cache_control_injected").alias("cache_control_injected"),
-        paired_parity(b, o).alias("semantic_parity"),
-        V.number_at(b, "$.timing.ttft_ms").alias("baseline_ttft_ms"),
-        V.number_at(o, "$.timing.ttft_ms").alias("optimized_ttft_ms"),
-        V.number_at(b, "$.timing.decode_tps").alias("baseline_decode_tps"),
-        V.number_at(o, "$.timing.decode_tps").alias("optimized_decode_tps"),
+        F.coalesce(o("turn_id"), b("turn_id")).alias("turn_id"),
+        F.lower(F.coalesce(o("provider"), b("provider"), F.lit("anthropic"))).alias("provider"),
+        o("is_hit").alias("is_hit"),
+        b("tokens").alias("baseline_input_tokens"),
+        o("tokens").alias("optimized_input_tokens"),
+        less("tokens").alias("tokens_reduced"),
+        N.reduction_pct(b("tokens"), o("tokens")).alias("reduction_pct"),
+        b("chars").alias("baseline_chars"),
+        o("chars").alias("optimized_chars"),
+        less("chars").alias("chars_saved"),
+        o("pruned").alias("tool_calls_pruned"),
+        o("injected").alias("cache_control_injected"),
+        (b("ok") & o("ok") & (~comparable | (kept("messages") & kept("contents")))).alias("semantic_parity"),
+        b("ttft_ms").alias("baseline_ttft_ms"),
+        o("ttft_ms").alias("optimized_ttft_ms"),
+        b("decode_tps").alias("baseline_decode_tps"),
+        o("decode_tps").alias("optimized_decode_tps"),
     )
 
 
@@ -271,7 +320,7 @@ def offline_scorecard(
     fail_under: float | None = None,
     position: str = "position",
 ) -> DataFrame:
-    turns = offline_turns(transactions, options, position=position)
+    turns = _offline_metrics(transactions, options, "tx", position)
     return scorecard(turns, rounds, fail_under, "Offline Differential Replay (Trace File)")
 
 
@@ -279,11 +328,11 @@ def paired_scorecard(
     baseline: DataFrame, optimized: DataFrame, position: str, rounds: int = 1, fail_under: float | None = None
 ) -> DataFrame:
     """Score two recorded runs; a run without any turn is an error."""
-    if baseline.isEmpty() or optimized.isEmpty():
+    one = lambda run: run.limit(1).select(F.lit(1))
+    if one(baseline).unionByName(one(optimized)).count() < 2:
         raise ValueError("both runs need at least one turn")
-    return scorecard(
-        paired_turns(pair_by_position(baseline, optimized, position)), rounds, fail_under, "Real Intercepted Traffic"
-    )
+    turns = _paired_metrics(baseline, optimized, position, "tx")
+    return scorecard(turns, rounds, fail_under, "Real Intercepted Traffic")
 
 
 def gate(card: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from turnscope import fixed
 from turnscope.functions import text as X
-from turnscope.operators.ordered import lookup_join
 from turnscope.operators.retrieval import file_lines
 
 # --- credentials --------------------------------------------------------------------------------------
@@ -94,7 +93,6 @@ def timing_gate(
     current: DataFrame,
     baseline: DataFrame,
     keys: list[str],
-    spread: list[str],
     count: int = 5,
     tolerance: float = 0.5,
     min_delta: float = 30.0,
@@ -106,9 +104,8 @@ def timing_gate(
     Above the ceiling fails always. More than ``tolerance`` and ``min_delta`` over the median fails, or
     warns when accepted. With fewer than ``count`` baseline records only the ceiling counts.
     """
-    asked = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
-    medians = baseline.join(asked, keys)
-    joined = lookup_join(current, medians, keys, "_asked", spread).drop("_asked")
+    # One row per job on the right: broadcast when its measured size allows, else split where a job is frequent.
+    joined = current.join(baseline, keys, "left")
     c = F.col
     known = F.coalesce(c("baseline_records"), F.lit(0)) >= count
     delta = c("duration_s") - c("median_s")

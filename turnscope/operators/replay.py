@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from turnscope.operators.ordered import lookup_join
 from turnscope.session import work_dir
 
+# Seconds beyond any log: an entry that never expires.
+FOREVER = 1e15
 STATE_SCHEMA = "key string, last_write double"
 
 
@@ -62,7 +64,12 @@ def _later(candidates: DataFrame, known: DataFrame, ttl_s: float) -> DataFrame:
 
 
 def replay(requests: DataFrame, ttl_s: float, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(outcomes, new state)``: every request with ``hit``, and the last write of each key."""
+    """``(outcomes, new state)``: every request with ``hit``, and the last write of each key.
+
+    A time to live of 0 or less never expires, as in the store.
+    """
+    if ttl_s <= 0:
+        ttl_s = FOREVER
     writes = find_writes(requests, ttl_s, state)
     past = writes.select("key", F.col("written_at").alias("write_at"), F.col("ordinal").alias("writer"))
     if state is not None:

@@ -8,12 +8,12 @@ from turnscope.functions import text as X
 from turnscope.operators import abtest as A
 from turnscope.operators import matching as M
 from turnscope.operators.conversation import CleanOptions
-from turnscope.operators.ordered import dense_index
 from turnscope.plans.conversation_queries import ANTHROPIC_KEYS, DEDUP_SQL
 from turnscope.plans.registry import query, table
-from turnscope.plans.views import TURNS_SQL, TX_SQL, requests, wire_transactions
+from turnscope.plans.views import TURNS_SQL, TX_SQL, requests, wire_lines
 from turnscope.session import work_dir
 from turnscope.sources.tables import add_hits, append_memories, clear, upsert
+from turnscope.sources.traces import read_trace
 
 # --- offline ------------------------------------------------------------------------------------------
 
@@ -25,7 +25,7 @@ def traced(spark, folder):
     r = requests(spark, folder, "anthropic")
     i = F.col("payload_id")
     text = F.concat(
-        F.lit('{"turn_id":'), i + 1, F.lit(',"provider":"Anthropic","cache_action":"'),
+        F.lit("{"), F.when(i % 4 != 3, F.concat(F.lit('"turn_id":'), i, F.lit(","))).otherwise(""), F.lit('"provider":"Anthropic","cache_action":"'),
         F.when(i % 3 == 0, "hit").otherwise("MISS"),
         F.lit('","response":{"usage":{'),
         F.when(i % 2 == 0, F.format_string('"input_tokens":%d', i * 10 + 500)).otherwise(""),
@@ -50,14 +50,17 @@ card as (
 
 @query(
     "ab_turns_offline",
-    f"""with {OFFLINE_SQL} select payload_id as position, cast(payload_id + 1 as varchar) as turn_id, 'anthropic' as provider, is_hit,
+    f"""with {OFFLINE_SQL}, placed as (select *, row_number() over (order by payload_id) as place from card)
+    select payload_id as position, r as round, 'anthropic' as provider, is_hit,
+    case when payload_id % 4 <> 3 and payload_id > 0 then cast(payload_id as varchar) else 'r' || r || '-t' || place end as turn_id,
     base_tokens as baseline_input_tokens, new_tokens as optimized_input_tokens, greatest(0, base_tokens - new_tokens) as tokens_reduced,
     round_even(greatest(0, base_tokens - new_tokens) / base_tokens * 100.0, 6) as reduction_pct,
     base_chars as baseline_chars, new_chars as optimized_chars, greatest(0, base_chars - new_chars) as chars_saved,
-    pruned as tool_calls_pruned, injected as cache_control_injected, true as semantic_parity, ttft as baseline_ttft_ms from card""",
+    pruned as tool_calls_pruned, injected as cache_control_injected, true as semantic_parity, ttft as baseline_ttft_ms
+    from placed, (values (1), (2), (3)) as v(r)""",
 )
 def ab_turns_offline(spark, folder):
-    t = A.offline_turns(traced(spark, folder), EVERYTHING)
+    t = A.offline_turns(traced(spark, folder), EVERYTHING, rounds=3)
     return t.drop("optimized_ttft_ms", "baseline_decode_tps", "optimized_decode_tps").withColumn(
         "reduction_pct", F.bround("reduction_pct", 6)
     )
@@ -126,7 +129,7 @@ def semantic_parity(spark, folder):
 PAIRS_SQL = f"""{TX_SQL},
 numbered as (select *, row_number() over (partition by mode order by ordinal) - 1 as pair_no from tx),
 pairs as (
-  select b.pair_no, b.ordinal as b_ord, o.ordinal as o_ord, b.input_tokens as base_tokens, o.input_tokens as new_tokens,
+  select b.pair_no, b.turn_no as b_turn, o.turn_no as o_turn, b.ordinal as b_ord, o.ordinal as o_ord, b.input_tokens as base_tokens, o.input_tokens as new_tokens,
     5 * (b.ordinal % 17) as base_chars, 5 * (o.ordinal % 17) as new_chars, o.tool_outputs_omitted as pruned, o.ordinal % 2 as injected,
     o.cache_action = 'HIT' or o.cache_read > 0 as is_hit, b.ordinal % 50 <> 49 and o.ordinal % 50 <> 49 as parity,
     b.ttft_ms as b_ttft, o.ttft_ms as o_ttft, o.provider,
@@ -135,21 +138,31 @@ pairs as (
   from numbered b join numbered o on b.pair_no = o.pair_no and b.mode = 'baseline' and o.mode = 'optimized')"""
 
 
+def _log(spark, folder):
+    """The log as a file, read back; some turns have no id."""
+    path = work_dir(spark, "log")
+    # Files in the order of their names, as a gateway that starts a new one now and then.
+    wire_lines(spark, folder).orderBy("ordinal").select("value").write.text(path)
+    return read_trace(spark, path)
+
+
 def _runs(spark, folder):
-    # The log is parsed once; what follows reads the columns it needs from the parsed table.
-    path = work_dir(spark, "parsed")
-    mode = F.try_variant_get("tx", "$.mode", "string").alias("mode")
-    wire_transactions(spark, folder).select("ordinal", "tx", mode).write.parquet(path)
-    t = spark.read.parquet(path)
+    t = _log(spark, folder).withColumn("mode", F.try_variant_get("tx", "$.mode", "string"))
     return A.mode_filter(t, "optimized"), A.mode_filter(t, "baseline")
 
 
-@query("ab_pair", f"with {PAIRS_SQL} select pair_no, b_ord, o_ord from pairs")
+@query("ab_pair", f"with {PAIRS_SQL} select pair_no, base_tokens, new_tokens, b_turn, o_turn from pairs")
 def ab_pair(spark, folder):
-    base, opt = _runs(spark, folder)
-    left = dense_index(base.select(F.col("ordinal").alias("b_ord")), [], "b_ord", "pair_no", width=1024)
-    right = dense_index(opt.select(F.col("ordinal").alias("o_ord")), [], "o_ord", "pair_no", width=1024)
-    return left.join(right, "pair_no")
+    tokens = F.try_variant_get("tx", "$.response.usage.input_tokens", "bigint").alias("tokens")
+    turn = F.try_variant_get("tx", "$.turn_id", "bigint").alias("turn")
+    base, opt = (run.select("ordinal", tokens, turn) for run in _runs(spark, folder))
+    return A.pair_by_position(base, opt, "ordinal").select(
+        "pair_no",
+        F.col("base.tokens").alias("base_tokens"),
+        F.col("opt.tokens").alias("new_tokens"),
+        F.col("base.turn").alias("b_turn"),
+        F.col("opt.turn").alias("o_turn"),
+    )
 
 
 @query(
@@ -166,15 +179,17 @@ def mode_filter(spark, folder):
 
 @query(
     "ab_turns_paired",
-    f"""with {PAIRS_SQL} select pair_no + 1 as position, provider, is_hit, base_tokens as baseline_input_tokens,
+    f"""with {PAIRS_SQL} select r as round, pair_no + 1 as position, provider, is_hit, base_tokens as baseline_input_tokens,
+    coalesce(nullif(o_turn, 0)::varchar, nullif(b_turn, 0)::varchar, 'r' || r || '-t' || (pair_no + 1)) as turn_id,
+    greatest(0, base_tokens - new_tokens) as tokens_reduced, greatest(0, base_chars - new_chars) as chars_saved,
+    coalesce(round_even(greatest(0, base_tokens - new_tokens) / nullif(base_tokens, 0) * 100.0, 6), 0.0) as reduction_pct,
     new_tokens as optimized_input_tokens, base_chars as baseline_chars, new_chars as optimized_chars, pruned as tool_calls_pruned,
     injected as cache_control_injected, parity as semantic_parity, b_ttft as baseline_ttft_ms, o_ttft as optimized_ttft_ms,
-    b_tps as baseline_decode_tps, o_tps as optimized_decode_tps from pairs""",
+    b_tps as baseline_decode_tps, o_tps as optimized_decode_tps from pairs, (values (1), (2)) as v(r)""",
 )
 def ab_turns_paired(spark, folder):
     base, opt = _runs(spark, folder)
-    turns = A.paired_turns(A.pair_by_position(base, opt, "ordinal", width=1024))
-    return turns.drop("turn_id", "tokens_reduced", "reduction_pct", "chars_saved")
+    return A.paired_turns(base, opt, rounds=2).withColumn("reduction_pct", F.bround("reduction_pct", 6))
 
 
 PAIRED_CARD = f"""with {PAIRS_SQL} select {CARD_COLUMNS.format(label="'Real Intercepted Traffic'", rounds=1)},

@@ -264,7 +264,7 @@ def rolling_median(spark, folder):
 def timing_gate(spark, folder):
     r = _records(spark, folder)
     baseline = G.rolling_median(r, ["job", "os"], "finished_at", 5)
-    judged = G.timing_gate(r, baseline, ["job", "os"], ["event_id"], accepted=F.col("event_id") % 2 == 0)
+    judged = G.timing_gate(r, baseline, ["job", "os"], accepted=F.col("event_id") % 2 == 0)
     return judged.select("event_id", F.bround("delta_s", 6).alias("delta_s"), "over_ceiling", "status")
 
 
@@ -276,7 +276,7 @@ def timing_gate(spark, folder):
 def timing_gate_short_baseline(spark, folder):
     r = _records(spark, folder)
     baseline = G.rolling_median(r, ["job", "os"], "finished_at", 5)
-    judged = G.timing_gate(r, baseline, ["job", "os"], ["event_id"], count=6, ceiling=100.0)
+    judged = G.timing_gate(r, baseline, ["job", "os"], count=6, ceiling=100.0)
     return judged.select("event_id", "median_s", "relative_skipped", "status")
 
 

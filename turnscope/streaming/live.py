@@ -123,6 +123,10 @@ def stream_cache_hits(requests: DataFrame, ttl_s: float, path: str, checkpoint:
         state = spark.read.schema(STATE_SCHEMA).parquet(previous) if batch_id > 0 else None
         outcomes, after = replay(batch, ttl_s, state)
         outcomes.write.mode("overwrite").parquet(f"{path}/outcomes/batch={batch_id}")
+        if ttl_s > 0:
+            # Later requests are no older than the newest, so an entry dead by then answers nothing more.
+            newest = batch.agg(F.max("at")).scalar()
+            after = after.filter(F.col("last_write") >= F.coalesce(newest, F.col("last_write")) - ttl_s)
         after.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
 
     return (
