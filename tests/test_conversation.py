@@ -292,3 +292,17 @@ def test_cache_key_parts(spark, provider, payload, parts):
     df = spark.createDataFrame([(json.dumps(payload),)], "j string").withColumn("p", V.parse(F.col("j")))
     row = df.select(C.cache_key_parts(F.col("p"), provider).alias("k")).first().k
     assert (row.user_text, row.system_text) == parts
+
+
+@pytest.mark.parametrize("levels", [0, 3, 4, 7])
+@pytest.mark.parametrize("single", [False, True])
+def test_nested_tool_results_of_any_depth(spark, levels, single):
+    block = {"type": "text", "text": "deep"}
+    for i in range(levels):
+        block = {"type": "tool_result", "text": f"level {i}", "content": block if single else [block, f"beside {i}"]}
+    payload = {"messages": [{"role": "user", "content": [block]}], "system": "s"}
+    df = spark.createDataFrame([(json.dumps(payload),)], "j string").select(F.parse_json("j").alias("p"))
+    row = df.select(C.cache_key_parts(F.col("p"), F.lit("anthropic")).alias("k")).first().k
+    up = [f"level {i}" for i in reversed(range(levels))]
+    beside = [] if single else [f"beside {i}" for i in range(levels)]
+    assert (row.user_text, row.system_text) == (" ".join([*up, "deep", *beside]), "s")

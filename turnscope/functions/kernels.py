@@ -48,6 +48,43 @@ def estimate_chars(json_text: Column, max_depth: int = 10) -> Column:
     return kernel(json_text)
 
 
+def user_text(json_text: Column, recent: int) -> Column:
+    """Text of the last ``recent`` user turns (0: all) of a chat request, below tool results of any depth."""
+
+    def texts(item):
+        if isinstance(item, str):
+            return [item]
+        if not isinstance(item, dict):
+            return []
+        own = [item["text"]] if isinstance(item.get("text"), str) else []
+        if item.get("type") != "tool_result":
+            return own
+        below = item.get("content")
+        return own + [t for x in (below if isinstance(below, list) else [below]) for t in texts(x)]
+
+    def spoken(content):
+        if isinstance(content, list):
+            return [t for x in content for t in texts(x)]
+        if content is None or isinstance(content, (str, dict)):
+            return texts(content)
+        return [json.dumps(content)]
+
+    def one(text):
+        request = _load(text)
+        if request is None:
+            return None
+        turns = [m for m in request["messages"] if isinstance(m, dict) and m.get("role") == "user"]
+        said = [t for m in turns[-recent if recent > 0 else None :] for t in spoken(m.get("content"))]
+        prompt = request.get("prompt")
+        return " ".join(said) if said else prompt if isinstance(prompt, str) else ""
+
+    @F.pandas_udf(StringType())
+    def kernel(requests: pd.Series) -> pd.Series:
+        return requests.map(one)
+
+    return kernel(json_text)
+
+
 def redact_payload(json_text: Column, max_depth: int = 50) -> Column:
     """Mask secret-named fields whole and credentials inside every string."""
     field = re.compile("(?i)" + SECRET_FIELD)

@@ -80,23 +80,24 @@ def redact_text(text: Column) -> Column:
     return masked
 
 
-def is_secret_header(name: Column) -> Column:
+def is_secret_header(name: Column, more: tuple[str, ...] = ()) -> Column:
+    """Known names, names of a secret's shape, and ``more``: the lower-case names of a gateway's own key headers."""
     low = F.lower(name)
     return (
-        low.isin(*fixed.SECRET_HEADERS)
+        low.isin(*fixed.SECRET_HEADERS, *more)
         | low.rlike(fixed.SECRET_FIELD)
         | F.contains(low, F.lit("token"))
         | F.contains(low, F.lit("secret"))
     )
 
 
-def redact_headers(headers: Column) -> Column:
+def redact_headers(headers: Column, more: tuple[str, ...] = ()) -> Column:
     """Lower-case the names, mask secret values; the last of two equal names wins."""
     rows = F.transform(
         F.map_entries(headers),
         lambda e: F.struct(
             F.lower(e["key"]).alias("key"),
-            F.when(is_secret_header(e["key"]), F.lit("[REDACTED]")).otherwise(redact_text(e["value"])).alias("value"),
+            F.when(is_secret_header(e["key"], more), F.lit("[REDACTED]")).otherwise(redact_text(e["value"])).alias("value"),
         ),
     )
     names = F.transform(rows, lambda r: r["key"])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnscope.functions import variants as V
-from turnscope.functions.kernels import estimate_chars
+from turnscope.functions.kernels import estimate_chars, user_text
 from turnscope.functions.nested import bind, indexes, last, part, total
 from turnscope.functions.text import strip
 
@@ -560,8 +560,12 @@ def with_chars(df: DataFrame, payload: str, json_text: str, out: str) -> DataFra
 # --- what a prompt is matched by ------------------------------------------------------------------------
 
 
-def _item_texts(item: Column, depth: int = 3) -> Column:
-    """Texts of a content item: its own, and those below a tool result."""
+# Nested tool results read by expressions; the rest is read by a kernel.
+RESULT_LEVELS = 3
+
+
+def _item_texts(item: Column, depth: int = RESULT_LEVELS) -> Column:
+    """Texts of a content item: its own, and those below a tool result; the first levels, see ``cache_key_parts``."""
     none = F.array().cast("array<string>")
     one = lambda text: F.when(text.isNotNull(), F.array(text)).otherwise(none)
     own = F.when(V.is_string(item), one(V.string_or_null(item))).otherwise(one(V.string_or_null(item, "$.text")))
@@ -586,12 +590,15 @@ def _plain_texts(value: Column) -> Column:
 
 
 def cache_key_parts(payload: Column, provider: Column | str, recent: int = 2) -> Column:
-    """``struct(user_text, system_text)``: text of the last user turns (0: all), and the instructions."""
+    """``struct(user_text, system_text)``: text of the last user turns (0: all), and the instructions.
+
+    Only requests with more tool results than a fixed shape could hold below each other leave the JVM for their text.
+    """
     provider = _col(provider)
     gemini = provider == "gemini"
     name = F.when(gemini, V.at(payload, "$.contents")).otherwise(V.at(payload, "$.messages"))
 
-    def by_turn(turns: Column) -> Column:
+    def by_turn(turns: Column, whole: Column) -> Column:
         role = lambda m: V.string_or_null(m, "$.role")
         silent = lambda m: F.coalesce(V.kind(V.at(m, "$.role")) == "VOID", ~V.has(m, "$.role"))
         users = F.filter(
@@ -640,6 +647,11 @@ def cache_key_parts(payload: Column, provider: Column | str, recent: int = 2) ->
             .when(F.size(ruled) > 0, ruled)
             .otherwise(_plain_texts(top))
         )
+        said = F.coalesce(whole, said)
         return F.struct(said.alias("user_text"), strip(F.array_join(texts, " ")).alias("system_text"))
 
-    return bind(V.items(name), by_turn)
+    text = F.to_json(payload)
+    # Text below more nested results than ``_item_texts`` looks into needs more than that many of them.
+    deep = ~gemini & (F.regexp_count(text, F.lit('"tool_result"')) > RESULT_LEVELS)
+    both = F.struct(V.items(name).alias("turns"), user_text(F.when(deep, text), recent).alias("whole"))
+    return bind(both, lambda b: by_turn(b["turns"], b["whole"]))

@@ -37,7 +37,7 @@ def turn_id(headers: Column, payload: Column, fallback: Column, names: dict[str,
 
 
 def identity(headers: Column, flow_id: Column, names: dict[str, str] = fixed.HEADER_NAMES,
-             agent: str = "agy", role: str = "executor") -> Column:
+             agent: str = "agent", role: str = "executor") -> Column:
     """``struct(flow_id, agent_id, agent_role)`` with defaults."""
     return F.struct(
         F.coalesce(F.nullif(flow_id, F.lit("")), F.concat(F.lit("flow_"), F.substring(F.uuid(), 1, 8))).alias("flow_id"),

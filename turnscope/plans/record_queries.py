@@ -177,7 +177,7 @@ def header_lookup(spark, folder):
 
 @query(
     "identity",
-    """select event_id, 'flow-' || event_id as flow_id, case when event_id % 3 <> 0 then 'agent-' || user_id else 'agy' end as agent_id,
+    """select event_id, 'flow-' || event_id as flow_id, case when event_id % 3 <> 0 then 'agent-' || user_id else 'agent' end as agent_id,
     case when event_id % 4 = 0 then 'planner' else 'executor' end as agent_role from events""",
 )
 def identity(spark, folder):
@@ -513,7 +513,7 @@ def exchanges(spark, folder):
     "wire_record",
     f"""with e as (select *, {SECRETS_SQL.replace("doc_id", "event_id")} as fake, event_id % 3 = 0 as streamed, event_type = 'view' as hit,
        event_id % 1000 + 1 as inp, event_id % 70 as outp from events)
-    select 'f' || event_id as flow_id, '2' as turn_id, 'agy' as agent_id,
+    select 'f' || event_id as flow_id, '2' as turn_id, 'agent' as agent_id,
       'https://api.openai.com/v1/chat/completions?key=[REDACTED]' as endpoint, '[REDACTED]' as api_key_header,
       case when event_id % 2 = 0 then 'baseline' else 'optimized' end as mode, case when hit then 'HIT' else 'MISS' end as cache_action,
       'hello ' || event_type || ' ' || case when event_id % 9 < 7 then '[REDACTED_SECRET]'
