@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from turnscope.session import work_dir
+from turnscope.streaming import live
 from turnscope.streaming.stateful import reassemble_tool_calls
 
 SCHEMA = "flow_id bigint, event_no int, call_index int, name string, fragment string, finished boolean"
@@ -50,3 +53,21 @@ def test_calls_over_several_micro_batches(spark):
     expected = [(1, 4, 0, "a", '{"x":1}'), (1, 4, 1, "b", '{"raw":"[bad"}'), (1, 6, 0, "c", "{}")]
     assert calls_of(spark, [first, second]) == expected
     assert calls_of(spark, [first + second + first[:1]]) == expected
+
+
+def test_flows_over_several_spans_and_micro_batches(spark):
+    folder = work_dir(spark, "chunks")
+    # Flow 1 lasts three hours, flow 2 comes in the last micro-batch only.
+    batches = [[(1, 0, 5), (1, 60, 6)], [(1, 3_700, 7)], [(1, 10_000, 8), (2, 10_100, 9)]]
+    for rows in batches:
+        chunks = spark.createDataFrame(rows, "flow_id bigint, s bigint, bytes bigint")
+        timed = chunks.select("flow_id", F.timestamp_seconds("s").alias("ts"), "bytes")
+        timed.coalesce(1).write.mode("append").parquet(folder + "/in")
+    schema = "flow_id bigint, ts timestamp, bytes bigint"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+    live.stream_flow_windows(stream, folder + "/out", folder + "/checkpoint").awaitTermination()
+    second = lambda n: F.unix_timestamp(n).alias(n)
+    found = live.latest_flows(spark, folder + "/out").select(
+        "flow_id", second("first_chunk"), second("last_chunk"), "bytes", "chunks"
+    )
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 10_000, 26, 4), (2, 10_100, 10_100, 9, 1)]
