@@ -126,30 +126,38 @@ def json_report(spark, folder):
 
 @query(
     "sink_wire_log",
-    f"""with {TX_SQL} select mode, count(*) as records, cast(sum(input_tokens) as bigint) as input_tokens from tx group by mode""",
+    f"""with {TX_SQL} select ordinal, mode, provider, cache_action, input_tokens from tx""",
 )
 def sink_wire_log(spark, folder):
     from turnscope.session import work_dir
     from turnscope.sources.traces import read_wire_log, write_wire_log
 
     t = wire_transactions(spark, folder)
+    get = lambda k: F.try_variant_get("tx", f"$.{k}", "string").alias(k)
     records = t.select(
-        F.try_variant_get("tx", "$.mode", "string").alias("mode"),
-        F.try_variant_get("tx", "$.mode", "string").alias("run"),
+        "ordinal",
+        get("mode"),
+        get("provider"),
+        get("cache_action"),
+        get("mode").alias("run"),
         F.struct(F.try_variant_get("tx", "$.response.usage.input_tokens", "bigint").alias("input_tokens")).alias("usage"),
     )
     path = work_dir(spark, "log") + "/transactions.jsonl"
     write_wire_log(records, path, partition_by="run")
     log = read_wire_log(spark, path.rsplit("/", 2)[0] + "/none", path.rsplit("/", 1)[0])
-    return log.groupBy(F.try_variant_get("tx", "$.mode", "string").alias("mode")).agg(
-        F.count(F.lit(1)).alias("records"),
-        F.sum(F.try_variant_get("tx", "$.usage.input_tokens", "bigint")).alias("input_tokens"),
+    whole = lambda k, name: F.try_variant_get("tx", f"$.{k}", "bigint").alias(name)
+    return log.select(
+        whole("ordinal", "ordinal"),
+        get("mode"),
+        get("provider"),
+        get("cache_action"),
+        whole("usage.input_tokens", "input_tokens"),
     )
 
 
 @query(
     "scan_trace_dir",
-    f"""with {TX_SQL} select mode, provider, count(*) as records from tx group by all""",
+    f"""with {TX_SQL} select mode, provider, cache_action, input_tokens, output_tokens, chars_saved from tx""",
 )
 def scan_trace_dir(spark, folder):
     from turnscope.session import work_dir
@@ -162,7 +170,9 @@ def scan_trace_dir(spark, folder):
     lines.write.options(**raw).partitionBy("run").csv(path)
     t = read_trace_dir(spark, path)
     get = lambda k: F.try_variant_get("tx", f"$.{k}", "string").alias(k)
-    return t.groupBy(get("mode"), get("provider")).agg(F.count(F.lit(1)).alias("records"))
+    whole = lambda k: F.try_variant_get("tx", f"$.{k}", "bigint").alias(k.rsplit(".", 1)[-1])
+    counts = ("response.usage.input_tokens", "response.usage.output_tokens", "delta.chars_saved")
+    return t.select(get("mode"), get("provider"), get("cache_action"), *[whole(k) for k in counts])
 
 
 # --- numbers, row by row ------------------------------------------------------------------------------
