@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnscope.llm import editprint, embeddup, jaccard, langid, lmscore, mixing, packing, pii, substrings, urlcascade
+from turnscope.llm import editprint, embeddup, jaccard, langid, lmscore, mixing, ngrams, packing, pii, substrings, urlcascade
 from turnscope.llm.components import components
 from turnscope.llm.queries import tokenizer_path
 
@@ -136,6 +136,38 @@ def test_lm_scores(docs, rows, empty, sizes):
     assert lmscore.lm_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("order, least", [(1, 1), (2, 1), (3, 1), (3, 2), (4, 3)])
+def test_ngram_scores(docs, rows, empty, order, least):
+    seen, score, n = Counter(), Counter(), Counter()
+    for _, text, *_ in rows:
+        w = words(text)
+        seen.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    total = sum(c for gram, c in seen.items() if len(gram) == 1)
+    for doc, text, *_ in rows:
+        w = words(text)
+        n[doc] += len(w)
+        for i in range(len(w)):
+            k = longest = min(order, i + 1)
+            while k > 1 and seen[tuple(w[i + 1 - k : i + 1])] < least:
+                k -= 1
+            context = seen[tuple(w[i + 1 - k : i])] if k > 1 else total
+            score[doc] += (longest - k) * math.log(0.4) + math.log(seen[tuple(w[i + 1 - k : i + 1])] / context)
+    found = ngrams.ngram_scores(docs, order=order, least=least, hot=5).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        if r.doc_id is None:
+            assert r.log_score is None
+        else:
+            assert r.n_words == n[r.doc_id] and r.log_score == pytest.approx(score[r.doc_id], abs=1e-6)
+    assert ngrams.ngram_scores(empty, order=order).count() == 0
+
+
+def test_pair_seen_once_is_no_step_back(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a d")], "doc_id bigint, text string")
+    found = {r.doc_id: r.log_score for r in ngrams.ngram_scores(docs, order=2).collect()}
+    assert found == {1: pytest.approx(math.log(2 / 5 * 1 / 2 * 1)), 2: pytest.approx(math.log(2 / 5 * 1 / 2))}
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 

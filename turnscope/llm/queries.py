@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnscope.llm import editprint, embeddup, jaccard, langid, lmscore, mixing, packing, pii, substrings, urlcascade
+from turnscope.llm import editprint, embeddup, jaccard, langid, lmscore, mixing, ngrams, packing, pii, substrings, urlcascade
 
 TOKENIZER = "word_bpe_49k.json"
 # The key of the pseudonyms; a real run names its own in this setting.
@@ -44,6 +44,10 @@ def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lmscore.lm_scores(_documents(spark, folder)).withColumn("log_score", F.round("log_score", 5))
 
 
+def op3_ngram_score(spark: SparkSession, folder: str) -> DataFrame:
+    return ngrams.ngram_scores(_documents(spark, folder)).withColumn("log_score", F.round("log_score", 5))
+
+
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(_documents(spark, folder))
 
@@ -80,7 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_source_mix, op3_lm_score, op4_jaccard_join, op5_edit_fingerprint, op6_best_fit_packing,
-        op7_url_filter, op8_substring_dedup, op9_embedding_dedup, op10_pii,
+        op7_url_filter, op8_substring_dedup, op9_embedding_dedup, op10_pii, op3_ngram_score,
     )
 }
 
@@ -103,6 +107,26 @@ ORACLES = {
             LEFT JOIN two ON two.v = pair.v AND two.w = pair.w)
         SELECT doc_id, len(ws) AS n_words, round(coalesce(any_value(t.s), 0.0), 5) AS log_score
         FROM doc LEFT JOIN (SELECT doc_id, sum(s) AS s FROM cost GROUP BY doc_id) t USING (doc_id) GROUP BY doc_id, ws""",
+    "op3_ngram_score": f"""
+        WITH doc AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM doc),
+        run AS (
+            SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v,
+                lag(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM word),
+        one AS (SELECT w, count(*) AS n FROM run GROUP BY w),
+        two AS (SELECT v, w, count(*) AS n FROM run WHERE v IS NOT NULL GROUP BY v, w),
+        three AS (SELECT u, v, w, count(*) AS n FROM run WHERE u IS NOT NULL GROUP BY u, v, w),
+        cost AS (
+            SELECT run.doc_id, CASE
+                WHEN three.n >= 1 THEN ln(three.n / uv.n)
+                WHEN two.n >= 1 THEN ln(two.n / a.n) + CASE WHEN run.u IS NULL THEN 0 ELSE ln(0.4) END
+                ELSE ln(b.n / (SELECT sum(n) FROM one))
+                    + CASE WHEN run.u IS NOT NULL THEN 2 WHEN run.v IS NOT NULL THEN 1 ELSE 0 END * ln(0.4) END AS s
+            FROM run JOIN one b ON b.w = run.w LEFT JOIN one a ON a.w = run.v
+            LEFT JOIN two ON two.v = run.v AND two.w = run.w LEFT JOIN two uv ON uv.v = run.u AND uv.w = run.v
+            LEFT JOIN three ON three.u = run.u AND three.v = run.v AND three.w = run.w)
+        SELECT doc_id, len(ws) AS n_words, round(coalesce(any_value(t.s), 0.0), 5) AS log_score
+        FROM doc LEFT JOIN (SELECT doc_id, sum(s) AS s FROM cost GROUP BY doc_id) t USING (doc_id) GROUP BY doc_id, ws""",
     "op4_jaccard_join": rf"""
         WITH RECURSIVE doc AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS ws
