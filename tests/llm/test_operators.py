@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from turnscope.llm import editprint, embeddup, jaccard, langid, lmscore, mixing, ngrams, packing, pii, substrings, urlcascade
 from turnscope.llm.components import components
@@ -136,6 +137,25 @@ def test_lm_scores(docs, rows, empty, sizes):
     assert lmscore.lm_scores(empty).count() == 0
 
 
+def test_lm_scores_hot_pair(spark, monkeypatch):
+    """No bucket ever holds the occurrences of one frequent pair, and its counts are right."""
+    table = [(i, "of the " * 60 + f"x{i} y{i % 7}") for i in range(90)] + [(90, None), (None, "of the")]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string").repartition(6)
+    seen = []
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, *a, old=DataFrame.repartition: seen.append(df) or old(df, *a))
+    found = {r.doc_id: r.log_score for r in lmscore.lm_scores(docs, bucket=1 << 16).collect()}
+    pieces = seen[-1].where("kind = 'pairs'").groupBy("bucket").agg(F.sum(F.size("heavy") + F.size("lefts")).alias("n"))
+    assert pieces.agg(F.max("n")).first()[0] < 400  # of 10,712 occurrences of two pairs
+    one, two = Counter(), Counter()
+    for _, text in table:
+        one.update(words(text)), two.update(zip(words(text), words(text)[1:]))
+    for doc, text in table:
+        w = words(text)
+        if doc is not None:
+            cost = [math.log(two[p] / one[p[0]] if two[p] >= 2 else 0.4 * one[p[1]] / sum(one.values())) for p in zip(w, w[1:])]
+            assert found[doc] == pytest.approx(sum(cost) + sum(math.log(one[x] / sum(one.values())) for x in w[:1]), abs=1e-6)
+
+
 @pytest.mark.parametrize("order, least", [(1, 1), (2, 1), (3, 1), (3, 2), (4, 3)])
 def test_ngram_scores(docs, rows, empty, order, least):
     seen, score, n = Counter(), Counter(), Counter()
