@@ -105,6 +105,22 @@ def test_junit(spark, tmp_path):
     assert {r.test: r.seconds for r in time_totals(cases).collect()} == {"c::n": 3.5, "::solo": 0.0}
 
 
+def test_junit_column_any_depth(spark):
+    case = '<testcase classname="c" name="a &gt; b > d" time=\'1.5\'><failure message="x">no &lt;</failure></testcase>'
+    odd = '<!-- <testcase name="no"/> --><system-out><![CDATA[<testcase name="no"/>]]></system-out><testcases name="no"/>'
+    reports = [
+        f"<testsuites><testsuite>{case}{odd}<testsuite><testcase\nname='deep'/></testsuite></testsuite></testsuites>",
+        f'<?xml version="1.0"?><testsuite>{case}</testsuite>',
+        "<testsuites/>",
+        None,
+        f"<testsuite>{case}",
+        f"<testsuites><testsuite>{case}</testsuites>",
+    ]
+    found = S.parse_junit(spark.createDataFrame(list(enumerate(reports)), "i int, xml string"), "xml", "i")
+    first = ("c", "a > b > d", "1.5")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(0, *first), (0, None, "deep", None), (1, *first)], key=str)
+
+
 def test_timing_records(spark, tmp_path):
     good = {"workflow": "w", "job": "j", "os": "linux", "duration_s": 5.0, "tests": {"a": 1.0}, "schema": 1, "x": 0}
     variants = [good, {**good, "schema": 2}, {**good, "duration_s": 0}, {**good, "tests": {"a": None}}, {**good, "tests": {}}]

@@ -361,8 +361,11 @@ def junit_reports(spark, folder):
     i = F.col("event_id")
     xml = F.concat(
         F.lit('<testsuite name="s"><testcase classname="'), "event_type", F.lit('" name="t'), i % 20, F.lit('" time="'), i % 90,
-        F.lit('.5"/><testcase classname="'), "event_type", F.lit('" name="bare"/></testsuite>'),
+        F.lit('.5"/>'), F.when(i % 3 == 0, "<testsuite>").otherwise(""), F.lit('<testcase classname="'), "event_type",
+        F.lit('" name="bare"/>'), F.when(i % 3 == 0, "</testsuite>").otherwise(""), F.lit("</testsuite>"),
     )
+    # Every third report has a root of suites and a suite in a suite, as a bare suite is only one of the usual forms.
+    xml = F.when(i % 3 == 0, F.concat(F.lit("<testsuites>"), xml, F.lit("</testsuites>"))).otherwise(xml)
     return e.select("event_id", xml.alias("xml"))
 
 

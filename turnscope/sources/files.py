@@ -12,7 +12,9 @@ TIMING_SCHEMA = (
     "workflow string, job string, os string, duration_s double, started_at double, finished_at double, "
     "sha string, run_id string, tests map<string,double>, schema int"
 )
-JUNIT_SCHEMA = "testcase array<struct<_classname:string,_name:string,_time:string>>"
+CASE_SCHEMA = "_classname string, _name string, _time string"
+# Start tags of test cases; also whatever may hold text that looks like one. Values may hold ">".
+CASE_TAG = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<testcase(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>"""
 
 
 def is_indexed(path: Column) -> Column:
@@ -40,9 +42,13 @@ def scan_text_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def parse_junit(documents: DataFrame, xml: str, *keep: str) -> DataFrame:
-    """One row per test case of XML reports held in a column."""
-    cases = documents.select(*keep, F.explode(F.from_xml(F.col(xml), JUNIT_SCHEMA)["testcase"]).alias("t"))
-    return cases.select(
+    """One row per test case, at any depth, of XML reports held in a column; a broken report has none."""
+    broken = F.from_xml(F.col(xml), "_corrupt_record string")["_corrupt_record"]
+    found = F.regexp_extract_all(F.col(xml), F.lit(CASE_TAG), F.lit(0))
+    tags = F.filter(found, lambda t: t.startswith("<testcase"))
+    rows = documents.where(broken.isNull()).select(*keep, F.explode(tags).alias("t"))
+    case = F.from_xml(F.regexp_replace("t", "/?>$", "/>"), CASE_SCHEMA)
+    return rows.select(*keep, case.alias("t")).select(
         *keep, F.col("t._classname").alias("classname"), F.col("t._name").alias("name"), F.col("t._time").alias("time")
     )
 
@@ -52,7 +58,7 @@ def scan_junit(spark: SparkSession, *paths: str) -> DataFrame:
     rows = (
         spark.read.format("xml")
         .option("rowTag", "testcase")
-        .schema("_classname string, _name string, _time string")
+        .schema(CASE_SCHEMA)
         .load(list(paths) if len(paths) > 1 else paths[0])
     )
     return rows.select(
