@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnscope.llm import editprint, embeddup, jaccard, langid, lmscore, mixing, ngrams, packing, pii, substrings, urlcascade
+from turnscope.functions.nested import bind
+from turnscope.llm import editprint, embeddup, jaccard, langid, lmscore, mixing, ngrams, packing, periodic, pii, substrings, urlcascade
 
 TOKENIZER = "word_bpe_49k.json"
 # The key of the pseudonyms; a real run names its own in this setting.
@@ -80,11 +81,43 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymised(docs, secret(spark))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """One text in ten, by crc32 of the decimal ``doc_id``, repeats some of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")
+        text = F.array_join(F.transform(words, lambda _, i: F.get(words, place(i))), " ")
+        return F.when(n > 0, text).otherwise(F.lit(""))
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return docs.select("doc_id", F.when(h % 10 == 0, bind(words, repeated)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(_documents(spark, folder).select("doc_id", "text")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("strongest.start").alias("start"),
+        F.col("strongest.length").alias("length"),
+        F.col("strongest.period").alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_source_mix, op3_lm_score, op4_jaccard_join, op5_edit_fingerprint, op6_best_fit_packing,
-        op7_url_filter, op8_substring_dedup, op9_embedding_dedup, op10_pii, op3_ngram_score,
+        op7_url_filter, op8_substring_dedup, op9_embedding_dedup, op10_pii, op3_ngram_score, op11_periodic_runs,
     )
 }
 
@@ -184,4 +217,40 @@ ORACLES = {
         SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, min(other) AS component_id,
             vec_id = min(other) AS kept
         FROM reach GROUP BY vec_id""",
+    "op11_periodic_runs": f"""
+        WITH given AS (
+            SELECT doc_id, {_WORDS} AS ws, xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+                lambda crc, b: list_reduce(
+                    list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                    lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) AS h
+            FROM documents),
+        part AS (SELECT *, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a, 3 + (h // 10) % 8 AS m FROM given),
+        doc AS (
+            SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+                THEN list_transform(range(n), lambda i: ws[CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // m) ELSE i END + 1])
+                ELSE ws END AS ws
+            FROM part),
+        word AS (SELECT doc_id, n, unnest(ws) AS w, unnest(range(n)) AS i FROM doc),
+        same AS (
+            SELECT a.doc_id, a.i, b.i - a.i AS q FROM word a JOIN word b ON a.doc_id = b.doc_id AND a.w = b.w
+            WHERE b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+        island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same),
+        stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM island GROUP BY doc_id, q, k),
+        run AS (
+            SELECT doc_id, s, len, min(q) AS q FROM stretch WHERE len >= 4 * q GROUP BY doc_id, s, len HAVING len >= 6),
+        best AS (
+            SELECT a.* FROM run a ANTI JOIN run b ON a.doc_id = b.doc_id AND (b.len * a.q > a.len * b.q
+                OR b.len * a.q = a.len * b.q AND (b.s < a.s OR b.s = a.s AND b.q < a.q))),
+        told AS (
+            SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs
+            FROM run GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
+        kept AS (
+            SELECT word.doc_id, string_agg(w, ' ' ORDER BY word.i) AS kept
+            FROM word ANTI JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY word.doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.len AS length, best.q AS period,
+            1000 * best.len // best.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+            sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM doc LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
