@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnscope.functions.nested import bind
-from turnscope.llm import editprint, embeddup, jaccard, langid, lmscore, mixing, ngrams, packing, periodic, pii, substrings, urlcascade
+from turnscope.llm import editprint, embeddup, hardneg, jaccard, langid, lmscore, mixing, ngrams, packing, periodic, pii, substrings, urlcascade
 
 TOKENIZER = "word_bpe_49k.json"
 # The key of the pseudonyms; a real run names its own in this setting.
@@ -113,11 +113,18 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_source_mix, op3_lm_score, op4_jaccard_join, op5_edit_fingerprint, op6_best_fit_packing,
         op7_url_filter, op8_substring_dedup, op9_embedding_dedup, op10_pii, op3_ngram_score, op11_periodic_runs,
+        op12_hard_negatives,
     )
 }
 
@@ -253,4 +260,21 @@ ORACLES = {
             1000 * best.len // best.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
             sha256(coalesce(kept, '')) AS collapsed_sha256
         FROM doc LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op12_hard_negatives": """
+        WITH vec AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pair AS (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+            FROM vec a JOIN vec b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        near AS (
+            SELECT a, b, score FROM pair WHERE same
+            QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+        SELECT near.a AS anchor_id, near.b AS positive_id,
+            (row_number() OVER (PARTITION BY near.a, near.b ORDER BY pair.score DESC, pair.b))::INTEGER AS rank,
+            pair.b AS negative_id, near.score AS positive_score, pair.score AS negative_score
+        FROM near JOIN pair ON pair.a = near.a AND NOT same AND 50 * near.score <= 100 * pair.score AND 100 * pair.score <= 95 * near.score
+        QUALIFY rank <= 3""",
 }
