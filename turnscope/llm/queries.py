@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnscope.functions.nested import bind
-from turnscope.llm import editprint, embeddup, hardneg, jaccard, langid, lmscore, mixing, ngrams, packing, periodic, pii, substrings, urlcascade
+from turnscope.llm import editprint, embeddup, hardneg, jaccard, langid, lmscore, milquality, mixing, ngrams, packing, periodic, pii, substrings, urlcascade
 
 TOKENIZER = "word_bpe_49k.json"
 # The key of the pseudonyms; a real run names its own in this setting.
@@ -119,12 +119,22 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hardneg.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
 
 
+def op13_quality_mil(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    found = milquality.quality_scores(docs, milquality.fit(docs, labels.where(~langid.held_out())))
+    return found.select(
+        "doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_passages", "top_passage", "top_weight",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_source_mix, op3_lm_score, op4_jaccard_join, op5_edit_fingerprint, op6_best_fit_packing,
         op7_url_filter, op8_substring_dedup, op9_embedding_dedup, op10_pii, op3_ngram_score, op11_periodic_runs,
-        op12_hard_negatives,
+        op12_hard_negatives, op13_quality_mil,
     )
 }
 
