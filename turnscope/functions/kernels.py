@@ -18,11 +18,27 @@ from turnscope.fixed import SECRET_FIELD, SECRET_TEXT, SECRET_URL_PARAM, TEXT_KE
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# What ``_load`` gives for text that is no JSON or is nested deeper than the parser goes.
+UNREADABLE = object()
+
+
 def _load(text):
     try:
-        return json.loads(text) if text is not None else None
-    except ValueError:
-        return None
+        return UNREADABLE if text is None else json.loads(text)
+    except (ValueError, RecursionError):
+        return UNREADABLE
+
+
+def _dump(node):
+    """JSON text that any sink can encode: half of a surrogate pair stays an escape. UNREADABLE if nested too deep to write."""
+    try:
+        text = json.dumps(node, ensure_ascii=False)
+        text.encode()
+    except UnicodeEncodeError:
+        return json.dumps(node)
+    except RecursionError:
+        return UNREADABLE
+    return text
 
 
 def _chars(node, depth):
@@ -39,7 +55,7 @@ def _chars(node, depth):
 
 
 def estimate_chars(json_text: Column, max_depth: int = 10) -> Column:
-    """Characters of a request or reply: text-bearing keys if there are any, else every value."""
+    """Characters of a request or reply: text-bearing keys if there are any, else every value; 0 for unreadable text."""
 
     @F.pandas_udf(LongType())
     def kernel(texts: pd.Series) -> pd.Series:
@@ -48,35 +64,45 @@ def estimate_chars(json_text: Column, max_depth: int = 10) -> Column:
     return kernel(json_text)
 
 
-def user_text(json_text: Column, recent: int) -> Column:
-    """Text of the last ``recent`` user turns (0: all) of a chat request, below tool results of any depth."""
-
-    def texts(item):
+def _below(item):
+    """Texts of a content item in order: its own, then those a tool result holds, however deep. No recursion."""
+    found, waiting = [], [item]
+    while waiting:
+        item = waiting.pop()
         if isinstance(item, str):
-            return [item]
+            found.append(item)
         if not isinstance(item, dict):
-            return []
-        own = [item["text"]] if isinstance(item.get("text"), str) else []
-        if item.get("type") != "tool_result":
-            return own
-        below = item.get("content")
-        return own + [t for x in (below if isinstance(below, list) else [below]) for t in texts(x)]
-
-    def spoken(content):
-        if isinstance(content, list):
-            return [t for x in content for t in texts(x)]
-        if content is None or isinstance(content, (str, dict)):
-            return texts(content)
-        return [json.dumps(content)]
+            continue
+        if isinstance(item.get("text"), str):
+            found.append(item["text"])
+        if item.get("type") == "tool_result":
+            held = item.get("content")
+            waiting += reversed(held) if isinstance(held, list) else [held]
+    return found
+
+
+def user_text(json_text: Column, recent: int) -> Column:
+    """Text of the last ``recent`` user turns (0: all) of a chat request, below tool results of any depth.
+
+    NULL for what has no list of ``messages``, and for unreadable text.
+    """
 
     def one(text):
         request = _load(text)
-        if request is None:
+        turns = request.get("messages") if isinstance(request, dict) else None
+        if not isinstance(turns, list):
             return None
-        turns = [m for m in request["messages"] if isinstance(m, dict) and m.get("role") == "user"]
-        said = [t for m in turns[-recent if recent > 0 else None :] for t in spoken(m.get("content"))]
+        said, asked = [], [t for t in turns if isinstance(t, dict) and t.get("role") == "user"]
+        for turn in asked[-recent if recent > 0 else None :]:
+            content = turn.get("content")
+            if isinstance(content, (bool, int, float)):
+                said.append(json.dumps(content))
+            for item in content if isinstance(content, list) else [content]:
+                said += _below(item)
         prompt = request.get("prompt")
-        return " ".join(said) if said else prompt if isinstance(prompt, str) else ""
+        found = " ".join(said) if said else prompt if isinstance(prompt, str) else ""
+        # Half of a surrogate pair has no place in text.
+        return found.encode("utf-8", "replace").decode()
 
     @F.pandas_udf(StringType())
     def kernel(requests: pd.Series) -> pd.Series:
@@ -85,38 +111,55 @@ def user_text(json_text: Column, recent: int) -> Column:
     return kernel(json_text)
 
 
+# A field of JSON text with a value that is a string or has no parts.
+_FIELD = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:\s*)(?:"(?:[^"\\]|\\.)*"|[^\s"{}\[\],]+)')
+
+
 def redact_payload(json_text: Column, max_depth: int = 50) -> Column:
-    """Mask secret-named fields whole and credentials inside every string."""
+    """Mask secret-named fields whole and credentials inside every string.
+
+    Text that is no JSON, or is nested deeper than the parser goes, is masked as text: credentials anywhere, and the values of
+    secret-named fields that are strings or plain.
+    """
     field = re.compile("(?i)" + SECRET_FIELD)
     url = re.compile(SECRET_URL_PARAM)
     shapes = [re.compile(p) for p in SECRET_TEXT]
 
+    def mask_text(text):
+        text = url.sub(lambda m: m[1] + "[REDACTED]", text)
+        for shape in shapes:
+            text = shape.sub("[REDACTED_SECRET]", text)
+        return text
+
     def mask(node, depth):
         if depth <= 0:
             return node
         if isinstance(node, str):
-            node = url.sub(lambda m: m[1] + "[REDACTED]", node)
-            for shape in shapes:
-                node = shape.sub("[REDACTED_SECRET]", node)
-        elif isinstance(node, dict):
+            return mask_text(node)
+        if isinstance(node, dict):
             return {k: "[REDACTED]" if field.match(k.lower()) else mask(v, depth - 1) for k, v in node.items()}
-        elif isinstance(node, list):
-            return [mask(v, depth - 1) for v in node]
-        return node
+        return [mask(v, depth - 1) for v in node] if isinstance(node, list) else node
+
+    def by_pattern(text):
+        hide = lambda m: f'"{m[1]}"{m[2]}"[REDACTED]"' if field.match(m[1].lower()) else m[0]
+        return mask_text(_FIELD.sub(hide, text))
+
+    def one(text):
+        if text is None:
+            return None
+        node = _load(text)
+        made = UNREADABLE if node is UNREADABLE else _dump(mask(node, max_depth))
+        return by_pattern(text) if made is UNREADABLE else made
 
     @F.pandas_udf(StringType())
     def kernel(texts: pd.Series) -> pd.Series:
-        def one(text):
-            node = _load(text)
-            return text if node is None else json.dumps(mask(node, max_depth), ensure_ascii=False)
-
         return texts.map(one)
 
     return kernel(json_text)
 
 
 def find_key(json_text: Column, *names: str, max_depth: int = 10) -> Column:
-    """The first non-null value (as JSON text) of any named key, a node before its children."""
+    """The first non-null value (as JSON text) of any named key, a node before its children; NULL in unreadable text."""
 
     def search(node, depth):
         if depth <= 0:
@@ -134,9 +177,13 @@ def find_key(json_text: Column, *names: str, max_depth: int = 10) -> Column:
                     return found
         return None
 
+    def one(text):
+        found = search(_load(text), max_depth)
+        text = None if found is None else _dump(found)
+        return None if text is UNREADABLE else text
+
     @F.pandas_udf(StringType())
     def kernel(texts: pd.Series) -> pd.Series:
-        found = texts.map(lambda t: search(_load(t), max_depth))
-        return found.map(lambda v: None if v is None else json.dumps(v, ensure_ascii=False))
+        return texts.map(one)
 
     return kernel(json_text)

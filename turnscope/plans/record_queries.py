@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from turnscope.functions import providers as PR
 from turnscope.functions import text as X
 from turnscope.functions import variants as V
-from turnscope.functions.kernels import find_key, redact_payload
+from turnscope.functions.kernels import estimate_chars, find_key, redact_payload
 from turnscope.operators import abtest as A
 from turnscope.operators import records as R
+from turnscope.operators.conversation import cache_key_parts
 from turnscope.plans.registry import query, table
 
 # --- providers ----------------------------------------------------------------------------------------
@@ -289,6 +290,45 @@ def scrub_payload(spark, folder):
     )
 
 
+_RESULTS = ",".join(['{"type":"tool_result","content":"r"}'] * 4)
+
+
+@query(
+    "json_kernels_bad_rows",
+    f"""select doc_id,
+    case doc_id % 6 when 1 then length(doc_id::varchar) + 2 when 2 then length(doc_id::varchar) + 1 when 3 then 0 else 0 end as chars,
+    case when doc_id % 6 = 1 then '"\\ud800 ' || doc_id || '"' when doc_id % 6 = 2 then '"x' || doc_id || '"' end as found,
+    case doc_id % 6
+      when 0 then repeat('[', 20000) || repeat(']', 20000)
+      when 1 then '{{"text": "\\ud800 ' || doc_id || '", "token": "[REDACTED]"}}'
+      when 2 then '{{"prompt": "x' || doc_id || '", "items": [{", ".join(['{"type": "tool_result", "content": "r"}'] * 4)}]}}'
+      when 3 then '{{"messages": null, "secret": "[REDACTED]"}}'
+      when 4 then 'broken {{"password":"[REDACTED]", "n":' || doc_id
+      else doc_id::varchar end as clean,
+    case when doc_id % 6 = 2 then 'x' || doc_id else '' end as user_text
+    from documents""",
+)
+def json_kernels_bad_rows(spark, folder):
+    """Text that is nested too deep, cut inside a character, no JSON, or no request: every kernel answers for each row."""
+    i = F.col("doc_id")
+    text = (
+        F.when(i % 6 == 0, F.concat(F.repeat(F.lit("["), 20_000), F.repeat(F.lit("]"), 20_000)))
+        .when(i % 6 == 1, F.concat(F.lit('{"text":"\\ud800 '), i, F.lit('","token":"t"}')))
+        .when(i % 6 == 2, F.concat(F.lit('{"prompt":"x'), i, F.lit(f'","items":[{_RESULTS}]}}')))
+        .when(i % 6 == 3, F.lit('{"messages":null,"secret":[1]}'))
+        .when(i % 6 == 4, F.concat(F.lit('broken {"password":"p", "n":'), i))
+        .otherwise(i.cast("string"))
+    )
+    rows = table(spark, folder, "documents").select("doc_id", text.alias("j")).withColumn("p", F.try_parse_json("j"))
+    return rows.select(
+        "doc_id",
+        estimate_chars(F.col("j")).alias("chars"),
+        find_key(F.col("j"), "text", "prompt").alias("found"),
+        redact_payload(F.col("j")).alias("clean"),
+        cache_key_parts(F.col("p"), "openai")["user_text"].alias("user_text"),
+    )
+
+
 @query(
     "find_nested_key",
     """select event_id, case when event_id % 3 = 0 then '"' || event_type || '"' when event_id % 3 = 1 then cast(event_id as varchar) end as found
