@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnscope import fixed
 from turnscope.functions import variants as V
+from turnscope.functions.formats import family
 
 
 def host_of(url: Column) -> Column:
@@ -72,9 +72,8 @@ def detect_provider(url: Column, payload: Column | None = None, gateway: bool =
 
 
 def provider_impl(name: Column) -> Column:
-    """The format that handles a provider name; unknown names use the chat-completions one."""
-    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
-    return F.when(low.isin("anthropic", "gemini"), low).otherwise(F.lit("openai"))
+    """The built-in format that handles a provider name; unknown names use the chat-completions one."""
+    return family(name)
 
 
 def is_local_target(host: Column, port: Column, provider: Column, declared: Column) -> Column:
@@ -117,15 +116,3 @@ def header(headers: Column, name: str) -> Column:
     """Header by case-insensitive name; an empty value counts as absent."""
     found = F.filter(F.map_entries(headers), lambda e: (F.lower(e["key"]) == name.lower()) & (e["value"] != ""))
     return F.get(found, F.lit(0))["value"]
-
-
-# Provider registry: a name maps to the DataFrame step that cleans its requests.
-_CLEANERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
-
-
-def register_provider(name: str, cleaner: Callable[[DataFrame], DataFrame]) -> None:
-    _CLEANERS[name.strip().lower()] = cleaner
-
-
-def registered_cleaner(name: str) -> Callable[[DataFrame], DataFrame] | None:
-    return _CLEANERS.get(name.strip().lower())

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from turnscope.functions import numbers as N
 from turnscope.functions import variants as V
-from turnscope.functions.providers import provider_impl
 from turnscope.operators.conversation import CleanOptions, clean_payload, with_chars
 from turnscope.operators.ordered import WIDTH, dense_index
 
@@ -134,8 +133,8 @@ def _offline_metrics(
         F.lower(F.coalesce(F.nullif(V.text_of(t, "$.provider"), F.lit("")), F.lit("anthropic"))).alias("provider"),
         (F.upper(action) == "HIT").alias("is_hit"),
         V.number_at(t, "$.timing.ttft_ms").alias("baseline_ttft_ms"),
-    ).withColumn("_impl", provider_impl(F.col("provider")))
-    cleaned = cleaner(named, "_payload", "_impl") if cleaner else clean_payload(named, "_payload", "_impl", options)
+    )
+    cleaned = cleaner(named, "_payload", "provider") if cleaner else clean_payload(named, "_payload", "provider", options)
     cleaned = cleaned.withColumn("_base_json", F.to_json("_payload")).withColumn("_new_json", F.col("clean.cleaned"))
     cleaned = cleaned.withColumn("_new", V.parse(F.col("_new_json")))
     counted = with_chars(cleaned, "_payload", "_base_json", "baseline_chars")

@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnscope.functions import variants as V
+from turnscope.functions.formats import built_in, dispatch, family, own_cleaners
 from turnscope.functions.kernels import estimate_chars, user_text
 from turnscope.functions.nested import bind, indexes, last, part, total
 from turnscope.functions.text import strip
 
 MARK = '"cache_control":{"type":"ephemeral"}'
 CACHE_POINTS = 4
+CLEAN_COUNTS = ("tool_outputs_omitted", "turns_summarized", "cache_control_injected")
 
 
 @dataclass(frozen=True)
@@ -483,15 +485,21 @@ def clean_payload(
 ) -> DataFrame:
     """Add ``out``: the cleaned JSON and what was done to it.
 
-    ``payload`` is a VARIANT column; ``provider`` names the column with the wire format. A request
-    without a list of turns is returned as it is. Every step is a projection of the same row.
+    ``payload`` is a VARIANT column; ``provider`` names the column with the provider. A request
+    without a list of turns is returned as it is. Every step is a projection of the same row. A registered provider that
+    cleans its requests itself is asked for its rows only.
     """
-    p, name = F.col(payload), F.col(provider)
+    own = own_cleaners()
+    key = F.lower(F.trim(F.coalesce(F.col(provider), F.lit(""))))
+    p, name = F.col(payload), F.col(f"_{out}_name")
+    if own:
+        p = F.when(~key.isin(*own), p)
     turns, span, final, plan = (F.col(f"_{out}_{x}") for x in ("turns", "span", "final", "plan"))
     zero, no = F.lit(0).cast("bigint"), F.lit(False)
     listed = V.is_array(F.when(name == "gemini", V.at(p, "$.contents")).otherwise(V.at(p, "$.messages")))
 
-    steps = df.withColumn(f"_{out}_turns", messages_of(p, name))
+    steps = df.withColumn(f"_{out}_name", family(F.col(provider)))
+    steps = steps.withColumn(f"_{out}_turns", messages_of(p, name))
     if options.dedup:
         steps = steps.withColumn(f"_{out}_turns", dedup(turns, name))
     long = F.size(turns) > options.max_turns
@@ -503,15 +511,23 @@ def clean_payload(
     none = F.struct(no.alias("system"), no.alias("tools"), no.alias("turn"))
     steps = steps.withColumn(f"_{out}_plan", F.when(marks, injection_plan(p, final)).otherwise(none))
     steps = steps.withColumn(f"_{out}_json", F.when(listed, render(p, name, final, plan)).otherwise(F.to_json(p)))
-    saved = V.dumps_length(F.to_json(p)) - V.dumps_length(F.col(f"_{out}_json"))
+    zero_if_null = lambda c: F.coalesce(c.cast("bigint"), zero)
     result = F.struct(
         F.col(f"_{out}_json").alias("cleaned"),
         F.when(listed, omitted_count(turns)).otherwise(zero).alias("tool_outputs_omitted"),
-        F.coalesce((span["suffix"] - span["prefix"]).cast("bigint"), zero).alias("turns_summarized"),
+        zero_if_null(span["suffix"] - span["prefix"]).alias("turns_summarized"),
         F.when(listed, plan_size(plan)).otherwise(zero).alias("cache_control_injected"),
-        F.greatest(zero, saved).alias("chars_saved"),
     )
-    return steps.select(*[c for c in df.columns if c != out], result.alias(out))
+    steps = steps.withColumn(f"_{out}_done", result)
+    for other, clean in own.items():
+        made = clean(F.col(payload), options)
+        counted = [zero_if_null(made[c]).alias(c) for c in CLEAN_COUNTS]
+        made = F.struct(made["cleaned"].alias("cleaned"), *counted)
+        steps = steps.withColumn(f"_{out}_done", F.when(key == other, made).otherwise(F.col(f"_{out}_done")))
+    done = F.col(f"_{out}_done")
+    saved = V.dumps_length(F.to_json(F.col(payload))) - V.dumps_length(done["cleaned"])
+    full = F.struct(*[done[c].alias(c) for c in ("cleaned", *CLEAN_COUNTS)], F.greatest(zero, saved).alias("chars_saved"))
+    return steps.select(*[c for c in df.columns if c != out], full.alias(out))
 
 
 # --- characters ---------------------------------------------------------------------------------------
@@ -590,68 +606,81 @@ def _plain_texts(value: Column) -> Column:
 
 
 def cache_key_parts(payload: Column, provider: Column | str, recent: int = 2) -> Column:
-    """``struct(user_text, system_text)``: text of the last user turns (0: all), and the instructions.
+    """``struct(user_text, system_text)``: text of the last user turns (0: all), and the instructions."""
+    return dispatch(provider, "key_parts", payload, recent)
 
-    Only requests with more tool results than a fixed shape could hold below each other leave the JVM for their text.
-    """
-    provider = _col(provider)
-    gemini = provider == "gemini"
-    name = F.when(gemini, V.at(payload, "$.contents")).otherwise(V.at(payload, "$.messages"))
-
-    def by_turn(turns: Column, whole: Column) -> Column:
-        role = lambda m: V.string_or_null(m, "$.role")
-        silent = lambda m: F.coalesce(V.kind(V.at(m, "$.role")) == "VOID", ~V.has(m, "$.role"))
-        users = F.filter(
-            turns,
-            lambda m: F.coalesce(role(m) == "user", F.lit(False))
-            | (gemini & V.is_object(m) & (F.coalesce(role(m) == "", F.lit(False)) | silent(m))),
-        )
-        kept = F.slice(users, F.greatest(F.size(users) - recent + 1, F.lit(1)), recent) if recent > 0 else users
-
-        def spoken(m: Column) -> Column:
-            content = V.at(m, "$.content")
-            listed = F.flatten(F.transform(V.items(content), lambda x: _item_texts(x)))
-            parts = F.filter(
-                F.transform(V.items(m, "$.parts"), lambda x: F.coalesce(V.string_or_null(x), V.string_or_null(x, "$.text"))),
-                lambda t: t.isNotNull(),
-            )
-            chat = (
-                F.when(V.is_array(content), listed)
-                .when(V.is_string(content) | V.is_object(content), _item_texts(content))
-                .when(V.kind(content) != "VOID", F.array(F.to_json(content)))
-                .otherwise(F.array().cast("array<string>"))
-            )
-            return F.when(gemini, parts).otherwise(chat)
-
-        said = F.flatten(F.transform(kept, spoken))
-        prompt = V.string_or_null(payload, "$.prompt")
-        said = bind(said, lambda t: F.when(F.size(t) > 0, F.array_join(t, " ")).otherwise(F.coalesce(prompt, F.lit(""))))
-        ruled = F.flatten(
-            F.transform(
-                F.filter(turns, lambda m: F.coalesce(role(m) == "system", F.lit(False))),
-                lambda m: _plain_texts(V.at(m, "$.content")),
-            )
-        )
-        top = V.at(payload, "$.system")
-        first = V.at(payload, "$.system_instruction")
-        rule = F.when(V.truthy(first), first).otherwise(V.at(payload, "$.systemInstruction"))
-        parts = V.at(rule, "$.parts")
-        by_rule = F.when(V.is_string(rule), F.array(V.string_or_null(rule))).when(
-            parts.isNull() | V.is_array(parts), _plain_texts(parts)
-        )
-        own = F.when(V.is_object(top), F.array_compact(F.array(V.string_or_null(top, "$.text")))).otherwise(_plain_texts(top))
-        alone = F.filter(F.array(V.string_or_null(rule, "$.text")), lambda t: t.isNotNull())
-        texts = (
-            F.when(gemini, F.coalesce(by_rule, alone))
-            .when(provider == "anthropic", own)
-            .when(F.size(ruled) > 0, ruled)
-            .otherwise(_plain_texts(top))
+
+def _recent(users: Column, recent: int) -> Column:
+    return F.slice(users, F.greatest(F.size(users) - recent + 1, F.lit(1)), recent) if recent > 0 else users
+
+
+def _role_is(m: Column, role: str) -> Column:
+    return F.coalesce(V.string_or_null(m, "$.role") == role, F.lit(False))
+
+
+def _said(payload: Column, texts: Column) -> Column:
+    """The texts in one, or the prompt of a request without any."""
+    prompt = F.coalesce(V.string_or_null(payload, "$.prompt"), F.lit(""))
+    return bind(texts, lambda t: F.when(F.size(t) > 0, F.array_join(t, " ")).otherwise(prompt))
+
+
+def _parts(said: Column, rules: Column) -> Column:
+    return F.struct(said.alias("user_text"), strip(F.array_join(rules, " ")).alias("system_text"))
+
+
+def _chat_said(payload: Column, turns: Column, recent: int) -> Column:
+    """Only requests with more tool results than a fixed shape could hold below each other leave the JVM for their text."""
+
+    def spoken(m: Column) -> Column:
+        content = V.at(m, "$.content")
+        return (
+            F.when(V.is_array(content), F.flatten(F.transform(V.items(content), lambda x: _item_texts(x))))
+            .when(V.is_string(content) | V.is_object(content), _item_texts(content))
+            .when(V.kind(content) != "VOID", F.array(F.to_json(content)))
+            .otherwise(F.array().cast("array<string>"))
         )
-        said = F.coalesce(whole, said)
-        return F.struct(said.alias("user_text"), strip(F.array_join(texts, " ")).alias("system_text"))
 
     text = F.to_json(payload)
     # Text below more nested results than ``_item_texts`` looks into needs more than that many of them.
-    deep = ~gemini & (F.regexp_count(text, F.lit('"tool_result"')) > RESULT_LEVELS)
-    both = F.struct(V.items(name).alias("turns"), user_text(F.when(deep, text), recent).alias("whole"))
-    return bind(both, lambda b: by_turn(b["turns"], b["whole"]))
+    deep = F.regexp_count(text, F.lit('"tool_result"')) > RESULT_LEVELS
+    users = F.filter(turns, lambda m: _role_is(m, "user"))
+    said = _said(payload, F.flatten(F.transform(_recent(users, recent), spoken)))
+    return F.coalesce(user_text(F.when(deep, text), recent), said)
+
+
+@built_in("anthropic", "key_parts")
+def _anthropic_parts(payload: Column, recent: int) -> Column:
+    top = V.at(payload, "$.system")
+    own = F.when(V.is_object(top), F.array_compact(F.array(V.string_or_null(top, "$.text")))).otherwise(_plain_texts(top))
+    return _parts(_chat_said(payload, V.items(payload, "$.messages"), recent), own)
+
+
+@built_in("openai", "key_parts")
+def _chat_parts(payload: Column, recent: int) -> Column:
+    turns = V.items(payload, "$.messages")
+    system = F.filter(turns, lambda m: _role_is(m, "system"))
+    ruled = F.flatten(F.transform(system, lambda m: _plain_texts(V.at(m, "$.content"))))
+    rules = bind(ruled, lambda r: F.when(F.size(r) > 0, r).otherwise(_plain_texts(V.at(payload, "$.system"))))
+    return _parts(_chat_said(payload, turns, recent), rules)
+
+
+@built_in("gemini", "key_parts")
+def _gemini_parts(payload: Column, recent: int) -> Column:
+    silent = lambda m: F.coalesce(V.kind(V.at(m, "$.role")) == "VOID", ~V.has(m, "$.role"))
+    text = lambda x: F.coalesce(V.string_or_null(x), V.string_or_null(x, "$.text"))
+    users = F.filter(
+        V.items(payload, "$.contents"),
+        lambda m: _role_is(m, "user") | (V.is_object(m) & (_role_is(m, "") | silent(m))),
+    )
+    said = F.transform(
+        _recent(users, recent),
+        lambda m: F.filter(F.transform(V.items(m, "$.parts"), text), lambda t: t.isNotNull()),
+    )
+    first = V.at(payload, "$.system_instruction")
+    rule = F.when(V.truthy(first), first).otherwise(V.at(payload, "$.systemInstruction"))
+    parts = V.at(rule, "$.parts")
+    by_rule = F.when(V.is_string(rule), F.array(V.string_or_null(rule))).when(
+        parts.isNull() | V.is_array(parts), _plain_texts(parts)
+    )
+    alone = F.filter(F.array(V.string_or_null(rule, "$.text")), lambda t: t.isNotNull())
+    return _parts(_said(payload, F.flatten(said)), F.coalesce(by_rule, alone))

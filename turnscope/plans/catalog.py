@@ -3,6 +3,7 @@
 from turnscope.plans import (  # noqa: F401
     compare_queries,
     conversation_queries,
+    format_queries,
     kpi_queries,
     record_queries,
     report_queries,
