@@ -31,29 +31,50 @@ def stream(spark, folder, name):
 def _append(df, spark, label):
     """Run an append stream to its end and read the table it wrote."""
     path = work_dir(spark, label)
-    query_ = (
-        df.writeStream.format("parquet")
-        .option("path", f"{path}/out")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query_.awaitTermination()
+    live.append_to(df, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
-CHUNK_SQL = """
-    select user_id as flow_id, min(ts) as first_chunk, max(ts) as last_chunk, cast(sum(length(props)) as bigint) as bytes, count(*) as chunks
-    from events group by user_id"""
+def _in_batches(spark, rows, label, time, batches=4):
+    """The rows as a stream of about so many micro-batches in order of time."""
+    path = work_dir(spark, label)
+    micros = F.unix_micros(time)
+    # One row of a few numbers.
+    cuts = rows.agg(F.percentile_approx(micros, [k / batches for k in range(1, batches)])).first()[0] or []
+    part = sum(((micros > c).cast("int") for c in cuts), F.lit(0))
+    for k in range(batches):
+        # Each write is a little later than the one before, which is the order the stream reads the files in.
+        rows.filter(part == k).write.mode("append").parquet(path)
+    files = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+FLOW_SQL = """
+    gaps as (
+      select user_id, ts, length(props) as bytes, ts > lag(ts) over (partition by user_id order by ts) + interval 6 hours as fresh from events),
+    lives as (select *, count(*) filter (where fresh) over (partition by user_id order by ts) as life from gaps),
+    flows as (
+      select user_id as flow_id, min(ts) as first_chunk, max(ts) as last_chunk, cast(sum(bytes) as bigint) as bytes, count(*) as chunks
+      from lives group by user_id, life)"""
+
+
+def _chunks(e):
+    return e.select(F.col("user_id").alias("flow_id"), F.col("ts").cast("timestamp").alias("ts"), F.length("props").alias("bytes"))
 
 
-@query("stream_flow_timing", CHUNK_SQL)
+@query(
+    "stream_flow_timing",
+    f"with {FLOW_SQL} select * from flows where last_chunk + interval 6 hours <= (select max(ts) from events) - interval 10 minutes",
+)
 def stream_flow_timing(spark, folder):
-    e = stream(spark, folder, "events")
-    chunks = e.select(F.col("user_id").alias("flow_id"), "ts", F.length("props").alias("bytes"))
-    path = work_dir(spark, "flows")
-    live.stream_flow_windows(chunks, path, f"{path}-checkpoint").awaitTermination()
-    return live.latest_flows(spark, path)
+    """Flows that have ended by the end of the stream, over several micro-batches."""
+    chunks = _in_batches(spark, _chunks(table(spark, folder, "events")), "chunks", "ts")
+    return _append(live.flows(chunks, "6 hours"), spark, "flows")
+
+
+@query("flow_lives", f"with {FLOW_SQL} select * from flows")
+def flow_lives(spark, folder):
+    return live.flows(_chunks(table(spark, folder, "events")), "6 hours")
 
 
 @query(
@@ -97,6 +118,96 @@ def stream_exchange(spark, folder):
     return _append(live.correlate(requests, replies).drop("cached"), spark, "exchange")
 
 
+ASKED_SQL = f"""
+    asked as (
+      select event_id as flow_id, {PROVIDER_SQL} as provider, ts as asked_at, event_id % 7 as status,
+        case when event_type <> 'error' then ts + to_milliseconds(event_id % 1000) end as answered_at
+      from events where event_id % 3 <> 2 and event_type <> 'view'),
+    ended as (
+      select * from asked where answered_at is not null or asked_at + interval 2 hours <
+        least((select max(ts) from events), (select max(ts + to_milliseconds(event_id % 1000)) from events where event_type <> 'error')))"""
+
+
+def _exchanges(spark, folder, unanswered):
+    i = F.col("event_id")
+    e = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    provider = F.when(i % 3 == 2, "unknown").otherwise(provider_of(i))
+    requests = e.select(
+        i.alias("flow_id"), provider.alias("provider"), F.col("ts").alias("asked_at"), (F.col("event_type") == "view").alias("cached")
+    )
+    later = F.timestamp_micros(F.unix_micros("ts") + (i % 1000) * 1000)
+    replies = e.filter(F.col("event_type") != "error").select(i.alias("flow_id"), later.alias("answered_at"), (i % 7).alias("status"))
+    asked = _in_batches(spark, requests, "asked", "asked_at")
+    answered = _in_batches(spark, replies, "answered", "answered_at")
+    return _append(live.correlate(asked, answered, unanswered=unanswered).drop("cached"), spark, "exchanges")
+
+
+@query(
+    "stream_unanswered",
+    f"""with {ASKED_SQL} select flow_id, provider, asked_at, answered_at, case when answered_at is not null then status end as status from ended""",
+)
+def stream_unanswered(spark, folder):
+    """Requests whose reply never comes are rows as soon as the watermark says so."""
+    return _exchanges(spark, folder, True)
+
+
+@query(
+    "stream_kpi_failures",
+    f"""with {ASKED_SQL}, kinds as (select *, answered_at is not null and status = 0 as ok from ended)
+    select count(*) as total_requests, count(*) as total_turns, cast(0 as bigint) as cache_hits,
+      cast(sum(case when ok then flow_id else 0 end) as bigint) as total_input_tokens,
+      round_even(avg(case when ok then epoch_ms(answered_at) - epoch_ms(asked_at) end), 2) as avg_ttft_ms from kinds""",
+)
+def stream_kpi_failures(spark, folder):
+    """Exchanges, failed and unanswered ones too, appended by one stream and counted by another."""
+    done = _exchanges(spark, folder, True)
+    path = work_dir(spark, "exchange-kpi")
+    done.withColumn("status", F.when(F.col("status") == 0, 200).otherwise(F.col("status"))).withColumn(
+        "ttft_s", (F.unix_millis("answered_at") - F.unix_millis("asked_at")) / 1000
+    ).withColumn("input_tokens", F.col("flow_id")).write.parquet(f"{path}-in")
+    rows = spark.readStream.schema(spark.read.parquet(f"{path}-in").schema).parquet(f"{path}-in")
+    live.stream_kpi(live.exchange_readings(rows, "input_tokens", "ttft_s"), path, f"{path}-checkpoint").awaitTermination()
+    return live.latest_snapshot(spark, path).select(
+        "total_requests", "total_turns", "cache_hits", "total_input_tokens", "avg_ttft_ms"
+    )
+
+
+STORE_LIFE_SQL = """
+    puts as (select cast(user_id % 97 as varchar) as key, event_type as provider, 'p' || event_id as prompt_normalized, 'r' || event_id as response_json, ts from events),
+    gaps as (select *, ts > lag(ts) over (partition by key order by ts) + interval 20 minutes as fresh from puts),
+    lives as (select *, count(*) filter (where fresh) over (partition by key order by ts) as life from gaps),
+    entries as (
+      select key, arg_min(provider, ts) as provider, arg_min(prompt_normalized, ts) as prompt_normalized,
+        arg_max(response_json, ts) as response_json, max(ts) as created_at, count(*) as puts, max(ts) + interval 20 minutes as expires_at
+      from lives group by key, life)"""
+
+
+def _puts(e):
+    i = F.col("event_id")
+    return e.select(
+        (F.col("user_id") % 97).cast("string").alias("key"),
+        F.col("event_type").alias("provider"),
+        F.concat(F.lit("p"), i).alias("prompt_normalized"),
+        F.concat(F.lit("r"), i).alias("response_json"),
+        F.col("ts").cast("timestamp").alias("put_at"),
+    )
+
+
+@query(
+    "stream_store_expiry",
+    f"with {STORE_LIFE_SQL} select * from entries where expires_at <= (select max(ts) from events) - interval 10 minutes",
+)
+def stream_store_expiry(spark, folder):
+    """Store entries that have expired by the end of a stream of puts in several micro-batches."""
+    puts = _in_batches(spark, _puts(table(spark, folder, "events")), "puts", "put_at")
+    return _append(live.store_entries(puts, "20 minutes"), spark, "expired")
+
+
+@query("store_entry_lives", f"with {STORE_LIFE_SQL} select * from entries")
+def store_entry_lives(spark, folder):
+    return live.store_entries(_puts(table(spark, folder, "events")), "20 minutes")
+
+
 # --- cache replay -------------------------------------------------------------------------------------
 
 TTL = 604_800.0

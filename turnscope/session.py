@@ -58,3 +58,9 @@ def work_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="turnscope-")
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder this package has written, on whatever file system it is; nothing happens if it is not there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
