@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnscope import fixed
 from turnscope.functions import text as X
+from turnscope.operators.medians import exact_medians
 from turnscope.operators.retrieval import file_lines
 
 # --- credentials --------------------------------------------------------------------------------------
@@ -129,9 +130,9 @@ def ceiling_gate(current: DataFrame, ceiling: float = 300.0) -> DataFrame:
 
 
 def test_medians(records: DataFrame) -> DataFrame:
-    """Median seconds per test over baseline records (a fixed number of records per job)."""
+    """Median seconds per test over baseline records; a test may stand in all of them."""
     rows = records.select(F.explode("tests").alias("test", "seconds"))
-    return rows.groupBy("test").agg(F.median("seconds").alias("median_s"))
+    return exact_medians(rows, ["test"], "seconds").select("test", F.col("median").alias("median_s"))
 
 
 def compare_tests(current: DataFrame, medians: DataFrame) -> DataFrame:

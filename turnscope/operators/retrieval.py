@@ -5,11 +5,12 @@ from __future__ import annotations
 import ast
 import re
 import sys
+import zlib
 from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnscope.functions import text as X
@@ -99,6 +100,69 @@ def keyword_search(
     return score_files(files, query, matches, path, content).orderBy(F.desc("score"), "path").limit(top_k)
 
 
+# --- inverted index -----------------------------------------------------------------------------------
+
+# Folders of the postings, by hash of the word, and tasks that share the postings of a folder.
+INDEX_PARTS, INDEX_SPREAD = 256, 16
+
+
+def _word_part(word: str, parts: int) -> int:
+    return zlib.crc32(word.encode()) % parts
+
+
+def write_index(
+    files: DataFrame, folder: str, path: str = "path", content: str = "content", parts: int = INDEX_PARTS, spread: int = INDEX_SPREAD
+) -> None:
+    """Write the postings of all files, a row for each word and file with the word's line numbers, and the lines themselves.
+
+    Postings lie in ``parts`` folders by hash of the word. A word that stands in every file is dealt to ``spread``
+    tasks by file. Lines are in order of path, so that those of a few files are read by their row groups.
+    """
+    lines = file_lines(files, path, content)
+    words = lines.select("path", "line_no", F.explode(X.words(F.col("text"))).alias("word"))
+    postings = words.groupBy("word", "path").agg(F.sort_array(F.collect_list("line_no")).alias("lines"))
+    postings = postings.withColumn("part", F.crc32(F.col("word").cast("binary")) % parts)
+    dealt = postings.repartition("part", F.pmod(F.xxhash64("path"), F.lit(spread))).sortWithinPartitions("part", "word")
+    dealt.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
+    lines.repartitionByRange("path").sortWithinPartitions("path", "line_no").write.mode("overwrite").parquet(f"{folder}/lines")
+
+
+def _postings(spark: SparkSession, folder: str, words: list[str], parts: int) -> DataFrame:
+    """Postings of some words; only their folders are read, and only the row groups that can hold them."""
+    schema = "word string, path string, lines array<int>, part int"
+    rows = spark.read.schema(schema).parquet(f"{folder}/postings")
+    return rows.where(F.col("part").isin([_word_part(w, parts) for w in words]) & F.col("word").isin(words))
+
+
+def indexed_search(
+    spark: SparkSession, folder: str, query: str, top_k: int = 5, matches: int = 3, parts: int = INDEX_PARTS
+) -> DataFrame:
+    """``keyword_search`` by an index from ``write_index``: the same rows, from the query's postings and ``top_k`` files' lines."""
+    words = _query_words(query)
+    none = F.lit(None).cast("array<struct<line_no:int,content:string>>")
+    nothing = spark.range(0).select(F.lit("").alias("path"), F.lit(0).cast("bigint").alias("score"), none.alias("matches"))
+    if not words:
+        return nothing
+    found = _postings(spark, folder, words, parts).groupBy("path").agg(
+        F.sum(F.size("lines").cast("bigint")).alias("score"), F.flatten(F.collect_list("lines")).alias("lines")
+    )
+    best = found.orderBy(F.desc("score"), "path").limit(top_k)
+    first = F.slice(F.array_sort(F.array_distinct("lines")), 1, matches)
+    # At most ``top_k`` rows with a few numbers each.
+    top = best.select("path", "score", first.alias("line_no")).collect()
+    if not top:
+        return nothing
+    wanted = spark.createDataFrame(top, best.select("path", "score", first.alias("line_no")).schema)
+    lines = spark.read.schema("path string, line_no int, text string").parquet(f"{folder}/lines")
+    lines = lines.where(F.col("path").isin([r["path"] for r in top]))
+    shown = wanted.select("path", "score", F.explode("line_no").alias("line_no")).join(lines, ["path", "line_no"])
+    line = F.struct("line_no", X.strip(F.col("text")).alias("content"))
+    return (
+        shown.groupBy("path", "score").agg(F.sort_array(F.collect_list(line)).alias("matches"))
+        .orderBy(F.desc("score"), "path")
+    )
+
+
 # --- symbols ------------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,16 @@ from turnscope.plans.conversation_queries import ANTHROPIC_KEYS, DEDUP_SQL
 from turnscope.plans.registry import query, table
 from turnscope.plans.views import TURNS_SQL, TX_SQL, requests, wire_lines
 from turnscope.session import work_dir
-from turnscope.sources.tables import add_hits, append_memories, clear, upsert
+from turnscope.sources.tables import (
+    add_hits,
+    append_memories,
+    clear,
+    create_store,
+    merge_puts,
+    read_buckets,
+    sweep,
+    upsert,
+)
 from turnscope.sources.traces import read_trace
 
 # --- offline ------------------------------------------------------------------------------------------
@@ -307,6 +316,35 @@ def store_upsert(spark, folder):
     )
 
 
+@query(
+    "store_merge",
+    f"""with {STORE_SQL},
+    rows as (
+      select provider, sys, text, created_at, doc_id, case when doc_id % 50 = 1 then 1 else 0 end as is_new from prompts)
+    select sha256(provider || ':' || sys || text) as id, case when min(is_new) = 0 then 5 else 0 end as hit_count,
+      round_even(arg_max(created_at, row(is_new, created_at)), 3) as created_at,
+      '{{"answer":' || arg_max(doc_id, row(is_new, created_at)) || '}}' as response_json
+    from rows group by provider, sys, text having arg_max(created_at, row(is_new, created_at)) >= {NOW - TTL}""",
+)
+def store_merge(spark, folder):
+    """A bucketed store after some puts and a sweep; only the buckets these touch are written again."""
+    path = work_dir(spark, "buckets")
+    p = prompts(spark, folder)
+    none = p.limit(0).drop("probe_id").withColumn("hit_count", F.lit(0).cast("bigint"))
+    old = upsert(none, p.filter("probe_id % 50 <> 1").drop("probe_id")).withColumn("hit_count", F.lit(5).cast("bigint"))
+    create_store(old, path)
+    merge_puts(spark, path, p.filter("probe_id % 50 = 1").drop("probe_id"))
+    sweep(spark, path, NOW - TTL)
+    parts = F.regexp_extract("prompt_normalized", '(?s)^\\{"a":"system (\\d)","b":', 1)
+    text = F.try_variant_get(F.parse_json("prompt_normalized"), "$.b", "string")
+    return read_buckets(spark, path).select(
+        F.sha2(F.concat("provider", F.lit(":"), parts, text), 256).alias("id"),
+        "hit_count",
+        F.bround("created_at", 3).alias("created_at"),
+        "response_json",
+    )
+
+
 @query(
     "store_scan",
     f"""with {STORE_SQL} select provider, count(*) as entries, cast(sum(len(words)) as bigint) as words from store group by provider""",

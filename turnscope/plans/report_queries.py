@@ -8,10 +8,12 @@ from turnscope.functions import text as X
 from turnscope.operators import gates as G
 from turnscope.operators import retrieval as RT
 from turnscope.operators import rollups
+from turnscope.operators.medians import exact_medians
 from turnscope.plans import documented as D
 from turnscope.plans.record_queries import SECRETS_SQL, _fake
 from turnscope.plans.registry import query, table
 from turnscope.plans.views import FILES_SQL, files
+from turnscope.session import work_dir
 from turnscope.sources.files import is_indexed, parse_junit, parse_timing_records
 
 # --- search -------------------------------------------------------------------------------------------
@@ -41,6 +43,17 @@ def keyword_search(spark, folder):
     return _shown(RT.keyword_search(files(spark, folder), QUERY))
 
 
+@query(
+    "indexed_search",
+    f"with {SCORES_SQL} select path, score, matches from scores join shown using (path) order by score desc, path limit 5",
+)
+def indexed_search(spark, folder):
+    """The search by an inverted index that is written over all files first."""
+    path = work_dir(spark, "index")
+    RT.write_index(files(spark, folder), path)
+    return _shown(RT.indexed_search(spark, path, QUERY))
+
+
 @query("keyword_scores", f"with {SCORES_SQL} select path, score, matches from scores join shown using (path)")
 def keyword_scores(spark, folder):
     return _shown(RT.score_files(files(spark, folder), QUERY))
@@ -248,6 +261,21 @@ def recent_n_baseline(spark, folder):
     return G.newest_records(_records(spark, folder), ["job", "os"], "finished_at", 5).select("job", "event_id", "recency")
 
 
+@query(
+    "exact_medians",
+    """with m as (select event_type as kind, user_id % 3 = 0 as third, value from events union all
+        select 'all', null, round(value) from events)
+    select kind, third, median(value) as median, count(*) as "values" from m where value is not null group by all""",
+)
+def exact_medians_query(spark, folder):
+    """Groups of very unlike sizes, with so few values held that the larger ones are cut into ranges again and again."""
+    e = table(spark, folder, "events")
+    rows = e.select(F.col("event_type").alias("kind"), (F.col("user_id") % 3 == 0).alias("third"), "value").unionByName(
+        e.select(F.lit("all").alias("kind"), F.lit(None).cast("boolean").alias("third"), F.round("value").alias("value"))
+    )
+    return exact_medians(rows, ["kind", "third"], "value", bins=8, held=64)
+
+
 @query("rolling_median", f"with {TIMING_SQL} select * from medians")
 def rolling_median(spark, folder):
     return G.rolling_median(_records(spark, folder), ["job", "os"], "finished_at", 5).drop("os")
