@@ -116,17 +116,32 @@ def test_substrings(docs, rows, empty):
     assert substrings.without_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [{}, {"heavy": 20, "bucket": 4096}, {"heavy": 0}])
+def stupid_backoff(texts, order, backoff=0.4):
+    """Score of each text, word by word: the longest n-gram seen, a factor for each word that it is shorter."""
+    count = Counter()
+    for w in texts:
+        for k in range(1, order + 1):
+            count.update((tuple(w[i : i + k]) for i in range(len(w) - k + 1)))
+    total = sum(n for g, n in count.items() if len(g) == 1)
+    scores = []
+    for w in texts:
+        score = 0.0
+        for i in range(len(w)):
+            grams = [tuple(w[i - k : i + 1]) for k in reversed(range(min(order, i + 1)))]
+            back = next(j for j, g in enumerate(grams) if count[g])
+            context = grams[back][:-1]
+            score += math.log(count[grams[back]] / (count[context] if context else total)) + back * math.log(backoff)
+        scores.append(score)
+    return scores
+
+
+@pytest.mark.parametrize("sizes", [{}, {"passes": 1, "hot": 0}, {"order": 1}, {"order": 3, "passes": 3, "hot": 5}, {"order": 4}])
 def test_lm_scores(docs, rows, empty, sizes):
-    one, two = Counter(), Counter()
-    for _, text, *_ in rows:
-        one.update(words(text)), two.update(zip(words(text), words(text)[1:]))
-    total, score, n = sum(one.values()), Counter(), Counter()
-    for doc, text, *_ in rows:
-        w = words(text)
+    score, n = Counter(), Counter()
+    texts = [words(text) for _, text, *_ in rows]
+    for (doc, *_), w, own in zip(rows, texts, stupid_backoff(texts, sizes.get("order", 2))):
         n[doc] += len(w)
-        score[doc] += sum(math.log(one[x] / total) for x in w[:1])
-        score[doc] += sum(math.log(two[p] / one[p[0]] if two[p] >= 2 else 0.4 * one[p[1]] / total) for p in zip(w, w[1:]))
+        score[doc] += own
     found = lmscore.lm_scores(docs, **sizes).collect()
     assert len(found) == len(rows)
     for r in found:
@@ -137,23 +152,31 @@ def test_lm_scores(docs, rows, empty, sizes):
     assert lmscore.lm_scores(empty).count() == 0
 
 
-def test_lm_scores_hot_pair(spark, monkeypatch):
-    """No bucket ever holds the occurrences of one frequent pair, and its counts are right."""
-    table = [(i, "of the " * 60 + f"x{i} y{i % 7}") for i in range(90)] + [(90, None), (None, "of the")]
-    docs = spark.createDataFrame(table, "doc_id bigint, text string").repartition(6)
-    seen = []
-    monkeypatch.setattr(DataFrame, "repartition", lambda df, *a, old=DataFrame.repartition: seen.append(df) or old(df, *a))
-    found = {r.doc_id: r.log_score for r in lmscore.lm_scores(docs, bucket=1 << 16).collect()}
-    pieces = seen[-1].where("kind = 'pairs'").groupBy("bucket").agg(F.sum(F.size("heavy") + F.size("lefts")).alias("n"))
-    assert pieces.agg(F.max("n")).first()[0] < 400  # of 10,712 occurrences of two pairs
-    one, two = Counter(), Counter()
-    for _, text in table:
-        one.update(words(text)), two.update(zip(words(text), words(text)[1:]))
-    for doc, text in table:
-        w = words(text)
-        if doc is not None:
-            cost = [math.log(two[p] / one[p[0]] if two[p] >= 2 else 0.4 * one[p[1]] / sum(one.values())) for p in zip(w, w[1:])]
-            assert found[doc] == pytest.approx(sum(cost) + sum(math.log(one[x] / sum(one.values())) for x in w[:1]), abs=1e-6)
+def test_lm_scores_explode_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "TOGETHER", 7)
+    texts = ["a b a b a b", "", "a", "b a", "c " * 30, "a b c d e f g h i j k l m n o p"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    found = {r.doc_id: r.log_score for r in lmscore.lm_scores(df, order=3).collect()}
+    expected = stupid_backoff([t.split() for t in texts], 3)
+    assert all(found[i] == pytest.approx(s, abs=1e-9) for i, s in enumerate(expected))
+
+
+def test_shared_tables_are_removed(docs, spark):
+    from turnscope.llm.support import shared_folder
+
+    lmscore.lm_scores(docs).count()
+    import os
+
+    assert not [f for f in os.listdir(shared_folder(spark)) if f.startswith("lm-counts")]
+
+
+def test_lm_scores_hot_pair(spark):
+    """A pair that fills half the corpus."""
+    rows = [(i, "x y " * 400 + f"w{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.log_score for r in lmscore.lm_scores(df, hot=4).collect()}
+    expected = stupid_backoff([t.split() for _, t in rows], 2)
+    assert all(found[i] == pytest.approx(s, abs=1e-6) for i, s in enumerate(expected))
 
 
 @pytest.mark.parametrize("order, least", [(1, 1), (2, 1), (3, 1), (3, 2), (4, 3)])

@@ -151,7 +151,7 @@ ORACLES = {
         cost AS (
             SELECT doc_id, CASE
                 WHEN pair.v IS NULL THEN ln(b.n / (SELECT sum(n) FROM one))
-                WHEN two.n >= 2 THEN ln(two.n / a.n)
+                WHEN two.n >= 1 THEN ln(two.n / a.n)
                 ELSE ln(0.4 * b.n / (SELECT sum(n) FROM one)) END AS s
             FROM pair JOIN one b ON b.w = pair.w LEFT JOIN one a ON a.w = pair.v
             LEFT JOIN two ON two.v = pair.v AND two.w = pair.w)

@@ -18,11 +18,15 @@ _OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share, ``spark.checkpoint.dir``; where it is unset (tests), an own one."""
+    """The folder all machines share, ``spark.checkpoint.dir``; only where a local session (tests) has none, an own one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    return _OWN_FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="llm-tables-"))
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    found = _OWN_FOLDERS.get(spark.sparkContext.applicationId)
+    return found or _OWN_FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="llm-tables-"))
 
 
 # Rows sent to Python at once: texts may be long, and two workers share an executor's memory.
@@ -42,6 +46,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Remove a table that ``stored`` wrote and that nothing will read again, and what shuffles have left that nothing refers to."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    # Shuffle files go when the driver's collector finds that their plans are gone.
+    spark._jvm.System.gc()
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, kept for the words seen last; at most ``LIMIT`` of them."""
 
