@@ -214,12 +214,15 @@ def pseudonymised(docs: DataFrame, secret: str, text: str = "text") -> DataFrame
     found = F.regexp_extract_all(source, F.lit(_ANY), F.lit(0))
     new = F.transform(found, lambda x: F.struct(x.alias("old"), _pseudonym(x, secret).alias("new")))
     may = source.rlike("[0-9@]|AKIA|password=|token = ")
-    parts = docs.withColumn("__new", F.when(may, new))
+    made = "_new"
+    while made in map(str.lower, docs.columns):
+        made = "_" + made
+    parts = docs.withColumn(made, F.when(may, new))
     put = F.zip_with(
-        F.split(source, _ANY, -1), "__new",
+        F.split(source, _ANY, -1), made,
         lambda piece, x: F.concat(piece, F.coalesce(x["new"], x["old"], F.lit(""))),
     )
-    hits = F.size(F.filter("__new", lambda x: x["new"].isNotNull()))
-    changed = F.when(F.col("__new").isNotNull() & (hits > 0), F.array_join(put, "")).otherwise(source)
-    kept = [F.col(c) if c != text else changed.alias(text) for c in docs.columns if c != "n_replaced"]
+    hits = F.size(F.filter(made, lambda x: x["new"].isNotNull()))
+    changed = F.when(F.col(made).isNotNull() & (hits > 0), F.array_join(put, "")).otherwise(source)
+    kept = [F.col(f"`{c}`") if c != text else changed.alias(text) for c in docs.columns if c != "n_replaced"]
     return parts.select(*kept, F.greatest(F.coalesce(hits, F.lit(0)), F.lit(0)).alias("n_replaced"))
