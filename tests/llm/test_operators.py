@@ -135,7 +135,7 @@ def stupid_backoff(texts, order, backoff=0.4):
     return scores
 
 
-@pytest.mark.parametrize("sizes", [{}, {"passes": 1, "hot": 0}, {"order": 1}, {"order": 3, "passes": 3, "hot": 5}, {"order": 4}])
+@pytest.mark.parametrize("sizes", [{}, {"passes": 1, "hot": 0, "heavy": 0}, {"order": 1}, {"order": 3, "passes": 3, "hot": 5, "heavy": 9}, {"order": 4, "passes": 1}])
 def test_lm_scores(docs, rows, empty, sizes):
     score, n = Counter(), Counter()
     texts = [words(text) for _, text, *_ in rows]
@@ -161,20 +161,11 @@ def test_lm_scores_explode_in_pieces(spark, monkeypatch):
     assert all(found[i] == pytest.approx(s, abs=1e-9) for i, s in enumerate(expected))
 
 
-def test_shared_tables_are_removed(docs, spark):
-    from turnscope.llm.support import shared_folder
-
-    lmscore.lm_scores(docs).count()
-    import os
-
-    assert not [f for f in os.listdir(shared_folder(spark)) if f.startswith("lm-counts")]
-
-
 def test_lm_scores_hot_pair(spark):
     """A pair that fills half the corpus."""
     rows = [(i, "x y " * 400 + f"w{i}") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = {r.doc_id: r.log_score for r in lmscore.lm_scores(df, hot=4).collect()}
+    found = {r.doc_id: r.log_score for r in lmscore.lm_scores(df, hot=4, heavy=1).collect()}
     expected = stupid_backoff([t.split() for _, t in rows], 2)
     assert all(found[i] == pytest.approx(s, abs=1e-6) for i, s in enumerate(expected))
 

@@ -46,16 +46,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(table: DataFrame) -> None:
-    """Remove a table that ``stored`` wrote and that nothing will read again, and what shuffles have left that nothing refers to."""
-    spark = table.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    # Shuffle files go when the driver's collector finds that their plans are gone.
-    spark._jvm.System.gc()
-
-
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, kept for the words seen last; at most ``LIMIT`` of them."""
 
