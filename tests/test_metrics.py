@@ -89,6 +89,20 @@ def test_ids_count_by_type(spark):
     assert kpi.kpi_summary(kpi.readings(log(spark, [{}, {}, {}]))).first().total_turns == 3
 
 
+def test_rollup_counts_an_id_of_several_groups_once(spark):
+    modes = ["a", "a", "b", "b", None]
+    records = [{"turn_id": t, "mode": m} for t, m in zip([1, 1, 1, 2, None], modes)]
+    t = log(spark, records).withColumn("mode", F.try_variant_get("tx", "$.mode", "string"))
+    found = kpi.kpi_summary(kpi.readings(t, keep=("mode",)), by=["mode"], rollup=True)
+    rows = {(r["mode"], r.level): (r.total_turns, r.total_requests) for r in found.collect()}
+    assert rows == {("a", 0): (1, 2), ("b", 0): (2, 2), (None, 0): (1, 1), (None, 1): (2, 5)}
+
+
+def test_the_log_is_read_once(spark):
+    plan = kpi.kpi_summary(kpi.readings(log(spark, RECORDS)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
 def test_stored_rates(spark):
     rows = [(45.5, 30.0, 45.5), (None, 30.0, 30.0), (0.0, 30.0, None)]
     df = spark.createDataFrame(rows, "stored double, derived double, expected double")

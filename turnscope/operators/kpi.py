@@ -18,8 +18,8 @@ USAGE = (
 DELTAS = ("tool_outputs_omitted", "chars_saved", "turns_summarized", "cache_control_injected")
 
 
-def readings(transactions: DataFrame, tx: str = "tx", ordinal: str = "ordinal") -> DataFrame:
-    """Typed readings of each transaction variant: identity, counters, times and rates.
+def readings(transactions: DataFrame, tx: str = "tx", ordinal: str = "ordinal", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed readings of each transaction variant: identity, counters, times and rates, and the columns to ``keep``.
 
     ``decode_tps`` tells an absent key from a null one: absent means an old record, whose rate is
     derived from its times; null means the writer could not measure it.
@@ -29,6 +29,7 @@ def readings(transactions: DataFrame, tx: str = "tx", ordinal: str = "ordinal")
     rates = ("ttft_ms", "total_ms", "prefill_tps", "tail_prefill_tps", "decode_tps")
     # Each section is read in one pass over its object; fields that do not fit become NULL.
     sections = transactions.select(
+        *keep,
         F.col(ordinal).alias("ordinal"),
         V.at(t, "$.turn_id").alias("_turn"),
         (V.text_of(t, "$.cache_action") == "HIT").alias("is_hit"),
@@ -40,6 +41,7 @@ def readings(transactions: DataFrame, tx: str = "tx", ordinal: str = "ordinal")
     usage = lambda k: count(F.col(f"_usage.{k}"))
     number = lambda k: V.number_at(F.col(f"_timing.{k}"), "$")
     base = sections.select(
+        *keep,
         "ordinal",
         V.text_of(F.col("_turn"), "$").alias("turn_id"),
         V.kind(F.col("_turn")).alias("turn_id_type"),
@@ -85,56 +87,92 @@ def total_turns() -> Column:
     return F.coalesce(F.nullif(ids, F.lit(0)), F.count(F.lit(1)))
 
 
-def distinct_turns(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Number of distinct turn ids, on the id columns alone."""
-    ids = rows.filter(F.col("turn_id").isNotNull()).select(*by, "turn_id", "turn_id_type").distinct()
-    return ids.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct_turns"))
+# Sums of the telemetry row by the reading they add up, and its averages and latest readings with their scale.
+SUMS = {
+    "tool_calls_pruned": "tool_outputs_omitted",
+    "chars_saved": "chars_saved",
+    "turns_summarized": "turns_summarized",
+    "cache_control_injected": "cache_control_injected",
+    "total_input_tokens": "input_tokens",
+    "total_output_tokens": "output_tokens",
+    "total_cache_read_tokens": "cache_read",
+    "total_cache_creation_tokens": "cache_creation",
+    "total_reasoning_tokens": "reasoning",
+}
+MEANS = {
+    "avg_ttft_ms": ("ttft_s", 1000.0),
+    "avg_decode_throughput_tps": ("decode_tps", 1.0),
+    "avg_prefill_throughput_tps": ("prefill_tps", 1.0),
+    "avg_tail_prefill_tps": ("tail_prefill_tps", 1.0),
+}
+LATEST = {
+    "latest_decode_throughput_tps": ("decode_tps", 1.0),
+    "latest_prefill_tps": ("prefill_tps", 1.0),
+    "latest_tail_prefill_tps": ("tail_prefill_tps", 1.0),
+    "latest_ttft_ms": ("ttft_s", 1000.0),
+    "latest_total_time_ms": ("total_s", 1000.0),
+}
+
+
+def _added() -> list[Column]:
+    """Aggregates that add up rows of sums, counts and latest readings to one of the same shape."""
+    sums = ("total_requests", "cache_hits", *SUMS, *MEANS, *[f"count_{name}" for name in MEANS])
+    return [*[F.sum(name).alias(name) for name in sums], *[F.max(name).alias(name) for name in LATEST]]
 
 
 def kpi_summary(
-    rows: DataFrame, source: str = "offline_wire_log", by: list[str] | None = None, exact_turns: bool = True
+    rows: DataFrame,
+    source: str = "offline_wire_log",
+    by: list[str] | None = None,
+    exact_turns: bool = True,
+    rollup: bool = False,
 ) -> DataFrame:
-    """Reduce readings to one row (or one per ``by``).
+    """Reduce readings to one row (or one per ``by``), in one pass over them.
+
+    Two levels: first one row of sums, counts and latest readings per turn id (all rows without an id are one), then
+    these are added up and the ids counted. So the log is read once, a task ships one row per id it has seen, and no
+    counter travels more often than that. Without ``exact_turns`` ids are estimated and a task ships one row.
 
-    Every counter is a plain aggregate, so a task ships one row. Distinct turns are counted apart: inside
-    the same aggregate they would make every counter travel once per turn id. Without ``exact_turns``
-    they are estimated in the same pass, with no shuffle of ids at all.
+    With ``rollup`` there are also rows for each shorter list of ``by`` down to none; ``level`` is the number of columns
+    left out as Spark's grouping id gives it. They are made from the rows per id, where an id that stands in several
+    groups is added up before it is counted.
     """
     c = F.col
     by = by or []
-    hits = F.sum(c("is_hit").cast("bigint"))
+    if rollup and not exact_turns:
+        raise ValueError("a rollup counts its turns exactly")
+    ids = ["turn_id", "turn_id_type"] if exact_turns else []
     estimate = F.approx_count_distinct(F.when(c("turn_id").isNotNull(), F.xxhash64("turn_id", "turn_id_type")))
-    aggregates = [
-        *([] if exact_turns else [estimate.alias("distinct_turns")]),
+    states = rows.groupBy(*by, *ids).agg(
+        *([] if exact_turns else [estimate.alias("ids")]),
         F.count(F.lit(1)).alias("total_requests"),
-        F.coalesce(hits, F.lit(0)).alias("cache_hits"),
-        F.sum("tool_outputs_omitted").alias("tool_calls_pruned"),
-        F.sum("chars_saved").alias("chars_saved"),
-        F.sum("turns_summarized").alias("turns_summarized"),
-        F.sum("cache_control_injected").alias("cache_control_injected"),
-        N.mean_or_zero(c("ttft_s") * 1000.0).alias("avg_ttft_ms"),
-        N.mean_or_zero(c("decode_tps")).alias("avg_decode_throughput_tps"),
-        latest(c("decode_tps"), c("ordinal")).alias("latest_decode_throughput_tps"),
-        F.count("decode_tps").alias("decode_samples"),
-        N.mean_or_zero(c("prefill_tps")).alias("avg_prefill_throughput_tps"),
-        latest(c("prefill_tps"), c("ordinal")).alias("latest_prefill_tps"),
-        N.mean_or_zero(c("tail_prefill_tps")).alias("avg_tail_prefill_tps"),
-        latest(c("tail_prefill_tps"), c("ordinal")).alias("latest_tail_prefill_tps"),
-        latest(c("ttft_s") * 1000.0, c("ordinal")).alias("latest_ttft_ms"),
-        latest(c("total_s") * 1000.0, c("ordinal")).alias("latest_total_time_ms"),
-        F.sum("input_tokens").alias("total_input_tokens"),
-        F.sum("output_tokens").alias("total_output_tokens"),
-        F.sum("cache_read").alias("total_cache_read_tokens"),
-        F.sum("cache_creation").alias("total_cache_creation_tokens"),
-        F.sum("reasoning").alias("total_reasoning_tokens"),
-    ]
-    reduced = rows.groupBy(*by).agg(*aggregates).filter(c("total_requests") > 0)
-    if exact_turns and by:
-        reduced = reduced.join(distinct_turns(rows, by), by, "left")
-    elif exact_turns:
-        reduced = reduced.withColumn("distinct_turns", distinct_turns(rows, []).scalar())
+        F.sum(F.coalesce(c("is_hit"), F.lit(False)).cast("bigint")).alias("cache_hits"),
+        *[F.sum(reading).alias(name) for name, reading in SUMS.items()],
+        *[F.sum(c(reading) * scale).alias(name) for name, (reading, scale) in MEANS.items()],
+        *[F.count(reading).alias(f"count_{name}") for name, (reading, _) in MEANS.items()],
+        *[
+            F.max(F.when(c(reading).isNotNull(), F.struct("ordinal", (c(reading) * scale).alias("value")))).alias(name)
+            for name, (reading, scale) in LATEST.items()
+        ],
+    )
+    if rollup:
+        sets = [[*by[:k], *ids] for k in range(len(by), -1, -1)]
+        level = F.shiftright(F.grouping_id(), len(ids)).alias("level")
+        states = states.groupingSets(sets, *by, *ids).agg(level, *_added())
+        by = [*by, "level"]
+    turns = F.count("turn_id") if exact_turns else F.max("ids")
+    added = states.groupBy(*by).agg(turns.alias("distinct_turns"), *_added()).filter(c("total_requests") > 0)
     known = F.nullif(c("distinct_turns"), F.lit(0).cast("bigint"))
-    reduced = reduced.withColumn("total_turns", F.coalesce(known, c("total_requests"))).drop("distinct_turns")
+    reduced = added.select(
+        *by,
+        "total_requests",
+        "cache_hits",
+        *SUMS,
+        *[F.coalesce(F.try_divide(c(name), c(f"count_{name}")), F.lit(0.0)).alias(name) for name in MEANS],
+        c("count_avg_decode_throughput_tps").alias("decode_samples"),
+        *[F.coalesce(c(name)["value"], F.lit(0.0)).alias(name) for name in LATEST],
+        F.coalesce(known, c("total_requests")).alias("total_turns"),
+    )
     rounded = [
         F.bround(c(f.name), 2).alias(f.name) if f.dataType.typeName() == "double" else c(f.name)
         for f in reduced.schema

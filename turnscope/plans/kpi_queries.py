@@ -46,6 +46,17 @@ def kpi_summary(spark, folder):
     return kpi.kpi_summary(kpi.readings(wire_transactions(spark, folder)))
 
 
+@query(
+    "kpi_rollup",
+    f"with {TX_SQL} select provider, mode, cast(grouping(provider, mode) as bigint) as level, {KPI_COLUMNS} from tx group by rollup (provider, mode)",
+)
+def kpi_rollup(spark, folder):
+    t = wire_transactions(spark, folder)
+    text = lambda k: F.try_variant_get("tx", f"$.{k}", "string").alias(k)
+    rows = kpi.readings(t.select("ordinal", "tx", text("provider"), text("mode")), keep=("provider", "mode"))
+    return kpi.kpi_summary(rows, by=["provider", "mode"], rollup=True)
+
+
 @query(
     "scan_trace",
     f"""with {TX_SQL} select ordinal, provider, mode, cache_action from tx where ordinal % 13 not in (1, 2, 3, 4)""",
