@@ -9,7 +9,8 @@ from turnscope.operators import kpi
 from turnscope.operators.ordered import running_sum
 from turnscope.plans.registry import query, table
 from turnscope.plans.views import PROVIDER_SQL, TX_SQL, provider_of, wire_lines, wire_transactions
-from turnscope.sources.traces import parse_arrays, parse_lines, union_traces, with_file_names
+from turnscope.session import work_dir
+from turnscope.sources.traces import parse_arrays, parse_lines, read_trace, union_traces, with_file_names
 
 KPI_COLUMNS = """
     coalesce(nullif(count(distinct case when turn_no is not null then turn_type || turn_no end), 0), count(*)) as total_turns,
@@ -91,6 +92,30 @@ def scan_trace_array(spark, folder):
     return rows.select("ordinal", "line_no", F.try_variant_get("tx", "$.provider", "string").alias("provider"))
 
 
+@query(
+    "read_trace_files",
+    f"""with {TX_SQL} select provider, mode, cache_action, input_tokens, output_tokens, cast(chars_saved as bigint) as chars_saved from tx""",
+)
+def read_trace_files(spark, folder):
+    """The log in many files, each third one array of records, read back by one call."""
+    root = work_dir(spark, "mixed-log")
+    rows = wire_lines(spark, folder).select("ordinal", "value", F.expr("ordinal div 512").alias("batch"))
+    listed = F.col("batch") % 3 == 0
+    arrays = rows.filter(listed).groupBy("batch").agg(
+        F.concat(F.lit("[\n"), F.listagg("value", F.lit(",\n")), F.lit("]")).alias("value")
+    )
+    lines = rows.filter(~listed).repartition("batch").sortWithinPartitions("batch", "ordinal").drop("ordinal")
+    arrays.write.partitionBy("batch").mode("append").text(root)
+    lines.write.partitionBy("batch").mode("append").text(root)
+    t = read_trace(spark, root)
+    text = lambda k: F.try_variant_get("tx", f"$.{k}", "string").alias(k)
+    number = lambda path, k: F.try_variant_get("tx", f"$.{path}.{k}", "bigint").alias(k)
+    return t.select(
+        text("provider"), text("mode"), text("cache_action"),
+        number("response.usage", "input_tokens"), number("response.usage", "output_tokens"), number("delta", "chars_saved"),
+    )
+
+
 @query(
     "union_traces",
     f"""with {TX_SQL} select mode, count(*) as records, cast(sum(input_tokens) as bigint) as input_tokens from tx group by mode""",

@@ -14,6 +14,7 @@ from turnscope.plans.record_queries import SECRETS_SQL, _fake
 from turnscope.plans.registry import query, table
 from turnscope.plans.views import FILES_SQL, files
 from turnscope.session import work_dir
+from turnscope.sources import files as readers
 from turnscope.sources.files import is_indexed, parse_junit, parse_timing_records
 
 # --- search -------------------------------------------------------------------------------------------
@@ -91,6 +92,36 @@ def scan_text_files(spark, folder):
     return d.select(path.alias("path")).filter(is_indexed(F.col("path")))
 
 
+@query(
+    "read_text_files",
+    """select 'src/' || case when doc_id // 64 % 5 = 1 then 'rebuild/' else '' end || 'batch=' || doc_id // 64 || '/' as folder,
+      string_agg(to_json({'doc_id': doc_id, 'text': text}), chr(10) order by doc_id, text) || chr(10) as content
+    from documents where doc_id // 64 % 5 <> 0 group by doc_id // 64""",
+)
+def read_text_files(spark, folder):
+    """All documents in files of 64, written and read back; those below ``build`` and the text files are not indexed."""
+    root = work_dir(spark, "texts")
+    d = table(spark, folder, "documents").select("doc_id", "text", F.expr("doc_id div 64").alias("batch"))
+    kind = F.col("batch") % 5
+    parts = {"build": kind == 0, "src/rebuild": kind == 1, "src": kind > 1}
+    for where, chosen in parts.items():
+        _by_batch(d.filter(chosen), "doc_id", "text").option("ignoreNullFields", False).json(f"{root}/{where}")
+    _by_batch(d.select("text", "batch"), "text").text(f"{root}/src/plain")
+    found = readers.scan_text_files(spark, root)
+    return found.select(F.regexp_replace("path", "part-[^/]*[.]json$", "").alias("folder"), "content")
+
+
+def _by_batch(rows, *order):
+    """A writer of one file for each batch, lines in the given order."""
+    return rows.repartition("batch").sortWithinPartitions("batch", *order).write.mode("append").partitionBy("batch")
+
+
+def _lists(rows, value, number):
+    """Records as texts of JSON arrays, 256 numbers to one."""
+    batch = F.expr(f"{number} div 256").alias("batch")
+    return rows.groupBy(batch).agg(F.concat(F.lit("["), F.listagg(value, F.lit(", ")), F.lit("]")).alias("value"))
+
+
 def sources(spark, folder):
     """Every part as a small Python file; some of them do not parse."""
     p = table(spark, folder, "part")
@@ -253,6 +284,20 @@ def scan_timing_records(spark, folder):
     return r.select("event_id", "job", "duration_s", F.col("tests")["a::one"].alias("first_test"))
 
 
+@query(
+    "read_timing_files",
+    f"with {TIMING_SQL} select event_id, job, duration_s, duration_s / 2 as first_test from records",
+)
+def read_timing_files(spark, folder):
+    """The records written as files that hold lists, and read back."""
+    root = work_dir(spark, "timings")
+    _by_batch(_lists(timing_lines(spark, folder), "value", "event_id"), "value").text(root)
+    r = readers.scan_timing_records(spark, root)
+    return r.select(
+        F.col("finished_at").cast("bigint").alias("event_id"), "job", "duration_s", F.col("tests")["a::one"].alias("first_test")
+    )
+
+
 @query(
     "recent_n_baseline",
     f"with {TIMING_SQL} select job, event_id, cast(recency as integer) as recency from newest where recency <= 5",
@@ -406,6 +451,20 @@ def scan_junit(spark, folder):
     return parse_junit(junit_reports(spark, folder), "xml", "event_id")
 
 
+@query(
+    "read_junit_files",
+    """select event_type as classname, 't' || event_id % 20 as name, event_id % 90 || '.5' as time from events
+    union all select event_type, 'bare', null from events""",
+)
+def read_junit_files(spark, folder):
+    """The reports written to files, the suites of some to each, and read back."""
+    root = work_dir(spark, "reports")
+    suites = junit_reports(spark, folder).groupBy(F.expr("event_id div 256").alias("batch")).agg(F.listagg("xml").alias("xml"))
+    report = F.concat(F.lit("<testsuites>"), "xml", F.lit("</testsuites>"))
+    _by_batch(suites.select(report.alias("value"), "batch"), "value").text(root)
+    return readers.scan_junit(spark, root)
+
+
 @query(
     "test_time_totals",
     """select event_type || '::t' || event_id % 20 as test, sum(event_id % 90 + 0.5)::double as seconds from events group by all
