@@ -60,112 +60,155 @@ def pair_tool_replies(parts: DataFrame, payload: str = "payload_id") -> DataFram
 # --- requests -----------------------------------------------------------------------------------------
 
 
-def _request_parts(requests: DataFrame, payload: str) -> DataFrame:
-    turns = requests.select("payload_id", F.posexplode(V.items(F.col(payload), "$.contents")).alias("turn_idx", "t"))
-    turns = turns.filter(V.is_object(F.col("t")))
-    rows = turns.select(
-        "payload_id",
-        "turn_idx",
-        F.when(V.string_or_null(F.col("t"), "$.role").isin("model", "assistant"), "assistant")
-        .otherwise("user")
-        .alias("role"),
-        F.posexplode_outer(V.items(F.col("t"), "$.parts")).alias("part_idx", "p"),
-    )
-    p = F.col("p")
-    call, reply = V.at(p, "$.functionCall"), V.at(p, "$.functionResponse")
-    kind = (
-        F.when(V.has(p, "$.text"), "text")
-        .when(call.isNotNull(), F.when(V.is_object(call), "call"))
-        .when(V.is_object(reply), "reply")
+def _turns(payload: Column) -> Column:
+    """Turns of a request: ``turn_idx``, ``role``, its texts, calls and replies."""
+
+    def part(p: Column, j: Column) -> Column:
+        call, reply = V.at(p, "$.functionCall"), V.at(p, "$.functionResponse")
+        kind = (
+            F.when(V.has(p, "$.text"), "text")
+            .when(call.isNotNull(), F.when(V.is_object(call), "call"))
+            .when(V.is_object(reply), "reply")
+        )
+        body = V.at(reply, "$.response")
+        inner = F.when(V.has(body, "$.content"), V.at(body, "$.content")).otherwise(body)
+        as_text = lambda v: F.coalesce(V.string_or_null(v), F.to_json(v), F.lit("{}"))
+        given = F.coalesce(V.text_of(call, "$.id"), V.text_of(reply, "$.id"))
+        return F.struct(
+            j.alias("part_idx"),
+            kind.alias("kind"),
+            F.coalesce(V.text_of(call, "$.name"), V.text_of(reply, "$.name"), F.lit("")).alias("fn"),
+            F.nullif(given, F.lit("")).alias("given_id"),
+            F.when(kind == "text", V.text_of(p, "$.text"))
+            .when(kind == "call", as_text(V.at(call, "$.args")))
+            .when(kind == "reply", as_text(inner))
+            .alias("body"),
+        )
+
+    def turn(t: Column, i: Column) -> Column:
+        model = V.string_or_null(t, "$.role").isin("model", "assistant")
+
+        def split(parts: Column) -> Column:
+            of = lambda kind: F.filter(parts, lambda p: p["kind"] == kind)
+            return F.struct(
+                i.alias("turn_idx"),
+                V.is_object(t).alias("valid"),
+                F.when(model, "assistant").otherwise("user").alias("role"),
+                F.filter(F.transform(of("text"), lambda p: p["body"]), lambda x: x.isNotNull()).alias("texts"),
+                of("call").alias("calls"),
+                of("reply").alias("replies"),
+            )
+
+        return bind(F.transform(V.items(t, "$.parts"), part), split)
+
+    return F.filter(F.transform(V.items(payload, "$.contents"), turn), lambda t: t["valid"])
+
+
+def _call_ids(turns: Column) -> Column:
+    """Call ids of the tool parts of one request, calls ahead of replies in each turn.
+
+    A fold with the open calls as its state: a reply without an id takes the oldest open call of its function, calls
+    without one are numbered per function (see ``pair_tool_replies``).
+    """
+    texts = F.array().cast("array<string>")
+    start = F.struct(
+        F.array().cast("array<struct<fn:string,id:string>>").alias("open"), texts.alias("unnamed"), texts.alias("ids")
     )
-    body = V.at(reply, "$.response")
-    inner = F.when(V.has(body, "$.content"), V.at(body, "$.content")).otherwise(body)
-    as_text = lambda v: F.coalesce(V.string_or_null(v), F.to_json(v), F.lit("{}"))
-    return rows.select(
-        "payload_id",
-        "turn_idx",
-        "role",
-        "part_idx",
-        kind.alias("kind"),
-        F.coalesce(V.text_of(call, "$.name"), V.text_of(reply, "$.name"), F.lit("")).alias("fn"),
-        F.coalesce(V.text_of(call, "$.id"), V.text_of(reply, "$.id")).alias("given_id"),
-        F.when(kind == "text", V.text_of(p, "$.text"))
-        .when(kind == "call", as_text(V.at(call, "$.args")))
-        .when(kind == "reply", as_text(inner))
-        .alias("body"),
+
+    def step(s: Column, p: Column) -> Column:
+        is_call, unnamed = p["kind"] == "call", p["given_id"].isNull()
+        number = F.size(F.filter(s["unnamed"], lambda x: x == p["fn"])) + 1
+        made = F.concat(F.lit("call_"), p["fn"], F.when(number > 1, F.concat(F.lit("_"), number)).otherwise(""))
+        spot = F.array_position(F.transform(s["open"], lambda o: o["fn"]), p["fn"]).cast("int")
+        first = F.get(s["open"], spot - 1)["id"]
+        answered = F.coalesce(p["given_id"], first, F.concat(F.lit("call_"), p["fn"]))
+        found = F.when(is_call, F.coalesce(p["given_id"], made)).otherwise(answered)
+        called = F.concat(s["open"], F.array(F.struct(p["fn"].alias("fn"), found.alias("id"))))
+        left = F.concat(F.slice(s["open"], 1, spot - 1), F.slice(s["open"], spot + 1, F.size(s["open"])))
+        return F.struct(
+            F.when(is_call, called).when(unnamed & (spot > 0), left).otherwise(s["open"]).alias("open"),
+            F.when(is_call & unnamed, F.concat(s["unnamed"], F.array(p["fn"]))).otherwise(s["unnamed"]).alias("unnamed"),
+            F.concat(s["ids"], F.array(found)).alias("ids"),
+        )
+
+    tools = F.flatten(F.transform(turns, lambda t: F.concat(t["calls"], t["replies"])))
+    return F.aggregate(tools, start, step, lambda s: s["ids"])
+
+
+def _starts(turns: Column) -> Column:
+    """Where the tool parts of each turn start among those of the request."""
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
+
+    def step(s: Column, t: Column) -> Column:
+        return F.struct(
+            (s["n"] + F.size(t["calls"]) + F.size(t["replies"])).alias("n"),
+            F.concat(s["at"], F.array(s["n"])).alias("at"),
+        )
+
+    return F.aggregate(turns, start, step, lambda s: s["at"])
+
+
+def _message(turn_idx, part_idx, role, content, name=None, tool_call_id=None, tool_calls=None) -> Column:
+    text = lambda v: (F.lit(None) if v is None else v).cast("string")
+    return F.struct(
+        F.struct(turn_idx.cast("int").alias("turn_idx"), part_idx.cast("int").alias("part_idx")).alias("message_idx"),
+        text(role).alias("role"),
+        text(content).alias("content"),
+        text(name).alias("name"),
+        text(tool_call_id).alias("tool_call_id"),
+        text(tool_calls).alias("tool_calls"),
     )
 
 
 def chat_messages(requests: DataFrame, payload: str = "payload") -> DataFrame:
     """Turn-and-part requests (``payload_id`` and a VARIANT) as chat message rows.
 
-    ``message_idx`` sorts the messages of a request: the system text first, replies one by one.
+    ``message_idx`` sorts the messages of a request: the system text first, replies one by one. All messages of a
+    request are made from its one value, inside the row; nothing is shuffled.
     """
-    c = F.col
-    parts = _request_parts(requests, payload)
-    tools = pair_tool_replies(parts.filter(c("kind").isin("call", "reply")))
-    both = parts.filter(c("kind").isNull() | (c("kind") == "text")).withColumn(
-        "call_id", F.lit(None).cast("string")
-    ).unionByName(tools)
-    call = F.struct(
-        "part_idx",
-        c("call_id").alias("id"),
-        F.lit("function").alias("type"),
-        F.struct(c("fn").alias("name"), c("body").alias("arguments")).alias("function"),
-    )
-    texts = F.expr("listagg(body, '\n') within group (order by part_idx) filter (where kind = 'text')")
-    answer = F.struct(
-        "part_idx", c("body").alias("content"), c("fn").alias("name"), c("call_id").alias("tool_call_id")
-    )
-    # One pass over the parts of a turn gives its text, its calls and its replies.
-    whole = both.groupBy("payload_id", "turn_idx", "role").agg(
-        texts.alias("text"),
-        F.array_sort(F.array_compact(F.array_agg(F.when(c("kind") == "call", call)))).alias("calls"),
-        F.array_sort(F.array_compact(F.array_agg(F.when(c("kind") == "reply", answer)))).alias("replies"),
-    )
-    none = F.lit(None).cast("string")
 
-    def message(part_idx, role, content, name, tool_call_id, tool_calls):
-        return F.struct(
-            F.struct(c("turn_idx").alias("turn_idx"), part_idx.cast("int").alias("part_idx")).alias("message_idx"),
-            role.alias("role"),
-            content.alias("content"),
-            name.alias("name"),
-            tool_call_id.alias("tool_call_id"),
-            tool_calls.alias("tool_calls"),
+    def of_turn(t: Column, ids: Column, start: Column) -> Column:
+        calls = F.transform(
+            t["calls"],
+            lambda c, k: F.struct(
+                F.get(ids, start + k).alias("id"),
+                F.lit("function").alias("type"),
+                F.struct(c["fn"].alias("name"), c["body"].alias("arguments")).alias("function"),
+            ),
+        )
+        has_calls = F.size(t["calls"]) > 0
+        text = F.when(F.size(t["texts"]) > 0, F.array_join(t["texts"], "\n")).when(~has_calls, "")
+        spoken = _message(t["turn_idx"], F.lit(0), t["role"], text, tool_calls=F.when(has_calls, F.to_json(calls)))
+        answers = F.transform(
+            t["replies"],
+            lambda r, k: _message(
+                t["turn_idx"], r["part_idx"], F.lit("tool"), r["body"], r["fn"], F.get(ids, start + F.size(t["calls"]) + k)
+            ),
         )
+        return F.when(F.size(t["replies"]) > 0, answers).otherwise(F.array(spoken))
 
-    has_calls = F.size("calls") > 0
-    spoken = message(
-        F.lit(0),
-        c("role"),
-        F.when(c("text").isNotNull(), c("text")).when(~has_calls, ""),
-        none,
-        none,
-        F.when(has_calls, F.to_json(F.transform("calls", lambda x: x.dropFields("part_idx")))),
-    )
-    answers = F.transform(
-        "replies",
-        lambda r: message(r["part_idx"], F.lit("tool"), r["content"], r["name"], r["tool_call_id"], none),
+    def of_request(turns: Column) -> Column:
+        return bind(
+            F.struct(_call_ids(turns).alias("ids"), _starts(turns).alias("at")),
+            lambda s: F.flatten(F.transform(turns, lambda t, i: of_turn(t, s["ids"], F.get(s["at"], i)))),
+        )
+
+    whole = F.col(payload)
+    instruction = F.when(V.truthy(V.at(whole, "$.systemInstruction")), V.at(whole, "$.systemInstruction")).otherwise(
+        V.at(whole, "$.system_instruction")
     )
-    turns = whole.select(
-        "payload_id", F.explode(F.when(F.size("replies") > 0, answers).otherwise(F.array(spoken))).alias("m")
-    ).select("payload_id", "m.*")
-    instruction = F.when(
-        V.truthy(V.at(c(payload), "$.systemInstruction")), V.at(c(payload), "$.systemInstruction")
-    ).otherwise(V.at(c(payload), "$.system_instruction"))
     lines = F.filter(
         F.transform(V.items(instruction, "$.parts"), lambda p: V.text_of(p, "$.text")), lambda t: t.isNotNull()
     )
-    system = requests.select("payload_id", lines.alias("lines")).filter(F.size("lines") > 0)
-    system = system.select(
-        "payload_id",
-        F.struct(F.lit(-1).alias("turn_idx"), F.lit(0).alias("part_idx")).alias("message_idx"),
-        F.lit("system").alias("role"),
-        F.array_join("lines", "\n\n").alias("content"),
-        *[F.lit(None).cast("string").alias(n) for n in ("name", "tool_call_id", "tool_calls")],
+    system = bind(
+        lines,
+        lambda found: F.filter(
+            F.array(_message(F.lit(-1), F.lit(0), F.lit("system"), F.array_join(found, "\n\n"))),
+            lambda m: F.size(found) > 0,
+        ),
     )
-    return system.unionByName(turns)
+    messages = F.concat(system, bind(_turns(whole), of_request))
+    return requests.select("payload_id", F.explode(messages).alias("m")).select("payload_id", "m.*")
 
 
 def chat_options(payload: Column, model: Column | None = None) -> Column:
