@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from turnscope.operators.protocol import chat_messages
+from turnscope.operators.protocol import chat_messages, pair_tool_replies, tool_parts
 
 
 def plain(request):
@@ -72,3 +72,36 @@ def test_odd_requests(spark):
     odd = [{}, {"contents": None}, {"contents": "x"}, {"contents": [7, None]}, [1], {"contents": [{"parts": "x"}]}]
     rows = chat_messages(frame(spark, odd)).collect()
     assert [(r.payload_id, r.role, r.content) for r in rows] == [(5, "user", "")]
+
+
+def test_tool_parts(spark):
+    """Calls and replies as rows get the ids that the plain walk gives them, and calls without an id are numbered."""
+    given = requests()
+    calls, answers = {}, {}
+    for r in pair_tool_replies(tool_parts(frame(spark, given))).collect():
+        if r.kind == "call":
+            calls.setdefault((r.payload_id, r.turn_idx), []).append((r.part_idx, r.call_id))
+        else:
+            answers[r.payload_id, r.turn_idx, r.part_idx] = r.call_id
+    expected, asked = {}, {}
+    for n, request in enumerate(given):
+        open_calls, unnamed = [], {}
+        for i, turn in enumerate(request["contents"]):
+            parts = turn.get("parts", []) if isinstance(turn, dict) else []
+            for j, p in enumerate(parts):
+                if "functionCall" in p:
+                    name, found = p["functionCall"]["name"], p["functionCall"].get("id")
+                    if not found:
+                        unnamed[name] = unnamed.get(name, 0) + 1
+                        found = f"call_{name}" + (f"_{unnamed[name]}" if unnamed[name] > 1 else "")
+                    open_calls.append((name, found))
+                    asked.setdefault((n, i), []).append((j, found))
+            for j, p in enumerate(parts):
+                if "functionResponse" in p:
+                    name, found = p["functionResponse"]["name"], p["functionResponse"].get("id")
+                    if not found:
+                        at = next((k for k, (f, _) in enumerate(open_calls) if f == name), None)
+                        found = f"call_{name}" if at is None else open_calls.pop(at)[1]
+                    expected[n, i, j] = found
+    assert answers == expected
+    assert {k: sorted(v) for k, v in calls.items()} == asked

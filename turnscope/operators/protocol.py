@@ -104,6 +104,19 @@ def _turns(payload: Column) -> Column:
     return F.filter(F.transform(V.items(payload, "$.contents"), turn), lambda t: t["valid"])
 
 
+def tool_parts(requests: DataFrame, payload: str = "payload") -> DataFrame:
+    """Calls and replies of requests (``payload_id`` and a VARIANT) as rows, as ``pair_tool_replies`` takes them."""
+
+    def of_turn(t: Column) -> Column:
+        return F.transform(
+            F.concat(t["calls"], t["replies"]),
+            lambda p: F.struct(t["turn_idx"].alias("turn_idx"), *[p[n].alias(n) for n in ("part_idx", "kind", "fn", "given_id", "body")]),
+        )
+
+    parts = F.flatten(F.transform(_turns(F.col(payload)), of_turn))
+    return requests.select("payload_id", F.explode(parts).alias("p")).select("payload_id", "p.*")
+
+
 def _call_ids(turns: Column) -> Column:
     """Call ids of the tool parts of one request, calls ahead of replies in each turn.
 

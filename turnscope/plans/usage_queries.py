@@ -342,8 +342,7 @@ paired as (
 
 @query("tool_pairing", f"with {PARTS_SQL} select * from paired")
 def tool_pairing(spark, folder):
-    parts = P._request_parts(gemini_requests(spark, folder), "payload").filter("kind in ('call', 'reply')")
-    return P.pair_tool_replies(parts).select("payload_id", "turn_idx", "part_idx", "kind", "fn", "call_id")
+    return P.pair_tool_replies(P.tool_parts(gemini_requests(spark, folder))).select("payload_id", "turn_idx", "part_idx", "kind", "fn", "call_id")
 
 
 @query(
