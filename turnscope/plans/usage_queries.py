@@ -354,9 +354,10 @@ def tool_pairing(spark, folder):
 def running_call_no(spark, folder):
     from turnscope.operators.ordered import dense_index
 
-    parts = P._request_parts(gemini_requests(spark, folder), "payload").filter("kind = 'call' and given_id is null")
-    placed = parts.withColumn("place", F.col("turn_idx") * 1000 + F.col("part_idx"))
-    numbered = dense_index(placed, ["payload_id", "fn"], "place", "no")
+    parts = P.tool_parts(gemini_requests(spark, folder)).filter("kind = 'call' and given_id is null")
+    # As a struct, a request without an id is a key like any other.
+    placed = parts.select("*", F.struct("payload_id", "fn").alias("of"), F.expr("turn_idx * 1048576L + part_idx").alias("place"))
+    numbered = dense_index(placed, ["of"], "place", "no")
     return numbered.select("payload_id", "turn_idx", "part_idx", "fn", (F.col("no") + 1).alias("call_no"))
 
 
