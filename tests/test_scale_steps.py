@@ -10,6 +10,7 @@ from turnscope.operators import matching as M
 from turnscope.operators.ordered import dense_index, lookup_join, running_sum
 from turnscope.operators.protocol import pair_tool_replies
 from turnscope.operators.replay import replay
+from turnscope.plans.catalog import QUERIES
 
 
 def hot_rows(n=3000, seed=5):
@@ -201,3 +202,24 @@ def test_line_ends(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     found = [r.r for r in df.select("i", X.lines(F.col("t")).alias("r")).orderBy("i").collect()]
     assert found == [t.splitlines() for t in texts]
+
+
+def events_table(spark, folder, count=2000):
+    i = F.col("id")
+    rows = spark.range(count).select(
+        i.alias("event_id"),
+        F.timestamp_micros(i * 7_000_000).alias("ts"),
+        (i % 17).alias("user_id"),
+        F.when(i % 3 == 0, "view").when(i % 3 == 1, "error").otherwise("click").alias("event_type"),
+        (i % 500).cast("double").alias("value"),
+        F.concat(F.lit('{"a":'), i, F.lit("}")).alias("props"),
+    )
+    rows.coalesce(1).write.parquet(f"{folder}/events.parquet")
+
+
+def test_throughput_rates_build_no_table_on_the_driver(spark, tmp_path):
+    """The rows of both sides grow with the log, however small the file."""
+    events_table(spark, tmp_path)
+    found = QUERIES["throughput_rates"](spark, str(tmp_path))
+    assert found.count() == 2000
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
