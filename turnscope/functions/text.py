@@ -100,11 +100,12 @@ def redact_headers(headers: Column, more: tuple[str, ...] = ()) -> Column:
             F.when(is_secret_header(e["key"], more), F.lit("[REDACTED]")).otherwise(redact_text(e["value"])).alias("value"),
         ),
     )
-    names = F.transform(rows, lambda r: r["key"])
-    last = F.filter(
-        rows, lambda r, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), r["key"])
-    )
-    return F.map_from_entries(last)
+
+    def last(rows: Column, names: Column) -> Column:
+        return F.filter(rows, lambda r, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), r["key"]))
+
+    # Bound, since a column that stands inside a lambda is made again for each element.
+    return bind(rows, lambda r: bind(F.transform(r, lambda e: e["key"]), lambda names: F.map_from_entries(last(r, names))))
 
 
 def mask_transients(text: Column) -> Column:
