@@ -5,11 +5,13 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from turnscope import fixed
 from turnscope.functions import text as X
 from turnscope.operators import matching as M
 from turnscope.operators.ordered import dense_index, lookup_join, running_sum
 from turnscope.operators.protocol import pair_tool_replies
 from turnscope.operators.replay import replay
+from turnscope.plans import registry
 from turnscope.plans.catalog import QUERIES
 
 
@@ -223,3 +225,23 @@ def test_throughput_rates_build_no_table_on_the_driver(spark, tmp_path):
     found = QUERIES["throughput_rates"](spark, str(tmp_path))
     assert found.count() == 2000
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_redacted_headers_are_made_once(spark):
+    """The masking of a value stands once in the plan, and the last of two names that differ by case wins."""
+    rows = spark.createDataFrame([(1, {}), (2, {}), (3, None)], "id int, h map<string,string>")
+    rows = rows.withColumn("h", F.when(F.col("id") == 1, F.expr("map('A', 'x', 'Token', 't', 'a', 'y')")).otherwise(F.col("h")))
+    found = rows.select("id", X.redact_headers(F.col("h")).alias("h"))
+    assert {r.id: r.h for r in found.collect()} == {1: {"token": "[REDACTED]", "a": "y"}, 2: {}, 3: None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", [REDACTED_SECRET]") == len(fixed.SECRET_TEXT)
+
+
+def test_spread_parts_are_bounded(spark, tmp_path, monkeypatch):
+    """The parts of a table of short rows grow in number, not in size."""
+    monkeypatch.setattr(registry, "ROWS", 100)
+    events_table(spark, tmp_path, 5000)
+    found = registry.table(spark, str(tmp_path), "events", spread=True)
+    assert found.rdd.getNumPartitions() == 50
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 200
