@@ -3,6 +3,7 @@
 import os
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from turnscope.session import work_dir
@@ -138,3 +139,33 @@ def test_only_the_newest_snapshots_stay(spark):
     live.stream_kpi(live.exchange_readings(rows), path, path + "-checkpoint").awaitTermination()
     assert sorted(f for f in os.listdir(path) if "=" in f) == ["version=3", "version=4"]
     assert live.latest_snapshot(spark, path).first().total_requests == 5
+
+
+def test_calls_that_end_in_their_batch_stay_out_of_the_state(spark, monkeypatch):
+    """Only fragments that wait for a later batch are written to the state store; each access is a message to it."""
+    from turnscope.streaming.stateful import ToolCalls
+
+    class Pieces(dict):
+        log = []
+
+        def exists(self):
+            return bool(self)
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def updateValue(self, place, piece):
+            self.log.append(place)
+            self[place] = piece
+
+        def removeKey(self, place):
+            del self[place]
+
+    row = lambda *values: Row(**dict(zip(("flow_id", "event_no", "call_index", "name", "fragment", "finished"), values)))
+    calls = ToolCalls(None)
+    calls._pieces = pieces = Pieces()
+    first = [row(1, 1, 0, "a", '{"x":', False), row(1, 2, 0, "", "1}", False), row(1, 3, -1, "", "", True), row(1, 4, 1, "b", "[", False)]
+    found = [tuple(r) for r in calls.handleInputRows((1,), iter(first), None)]
+    assert found == [(1, 3, 0, "a", '{"x":1}')] and pieces.log == [(4, 1)]
+    found = [tuple(r) for r in calls.handleInputRows((1,), iter([row(1, 5, 1, None, "]", False), row(1, 6, -1, None, None, True)]), None)]
+    assert found == [(1, 6, 1, "b", "[]")] and pieces.log == [(4, 1)] and not pieces

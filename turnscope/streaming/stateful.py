@@ -6,9 +6,8 @@ import json
 import sys
 from bisect import bisect_left
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -19,7 +18,7 @@ CALL_SCHEMA = "flow_id bigint, event_no int, call_index int, name string, argume
 class ToolCalls(StatefulProcessor):
     """Joins the fragments of tool calls per flow and emits them when the flow finishes its calls.
 
-    Rows: ``flow_id, event_no, call_index, name, fragment, finished``. State is one entry per fragment, so the
+    Rows: ``flow_id, event_no, call_index, name, fragment, finished``. State is one entry per fragment that waits for its finish, so the
     order of the batches of a micro-batch does not matter, and a fragment that comes twice before its finish counts once. A finish
     takes the fragments up to its own event. With ``idle_ms``, fragments that never see a finish leave after it.
     """
@@ -33,31 +32,31 @@ class ToolCalls(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues):
-        ends = set()
-        for batch in rows:
-            for row in batch.itertuples(index=False):
-                if row.call_index is not None and row.call_index >= 0:
-                    place = (int(row.event_no), int(row.call_index))
-                    self._pieces.updateValue(place, (row.name or "", row.fragment or ""))
-                if row.finished:
-                    ends.add(int(row.event_no))
-        out = [(key[0], *call) for call in self._whole(sorted(ends))] if ends else []
-        if out:
-            yield pd.DataFrame(out, columns=["flow_id", "event_no", "call_index", "name", "arguments"])
-
-    def _whole(self, ends: list[int]) -> list[tuple[int, int, str, str]]:
+        fresh, ends = {}, set()
+        for row in rows:
+            if row.call_index is not None and row.call_index >= 0:
+                fresh[row.event_no, row.call_index] = (row.name or "", row.fragment or "")
+            if row.finished:
+                ends.add(row.event_no)
+        for end, index, name, arguments in self._whole(fresh, sorted(ends)):
+            yield Row(flow_id=key[0], event_no=end, call_index=index, name=name, arguments=arguments)
+
+    def _whole(self, fresh: dict, ends: list[int]) -> list[tuple[int, int, str, str]]:
+        """The calls that end. Fragments that end with the batch they came in never enter the state, each access to which is
+        a message to the state store."""
+        known = dict(self._pieces.iterator()) if ends and self._pieces.exists() else {}
         calls: dict[tuple[int, int], tuple[list[str], list[str]]] = {}
-        done = []
-        for place, (name, fragment) in sorted(self._pieces.iterator()):
+        for place, piece in sorted((known | fresh).items()):
             k = bisect_left(ends, place[0])
             if k == len(ends):
-                break
+                if place in fresh:
+                    self._pieces.updateValue(place, piece)
+                continue
             names, texts = calls.setdefault((ends[k], place[1]), ([], []))
-            names.append(name)
-            texts.append(fragment)
-            done.append(place)
-        for place in done:
-            self._pieces.removeKey(place)
+            names.append(piece[0])
+            texts.append(piece[1])
+            if place in known:
+                self._pieces.removeKey(place)
         found = []
         for (end, index), (names, texts) in sorted(calls.items()):
             name, text = next((n for n in reversed(names) if n), ""), "".join(texts)
@@ -79,7 +78,7 @@ def reassemble_tool_calls(fragments: DataFrame, idle_ms: int | None = None) -> D
     Fragments that wait longer than ``idle_ms`` for the end of their flow are dropped. A stream that runs on should
     set it; Spark then starts batches without new rows too, so a stream read to its end (``availableNow``) must not.
     """
-    return fragments.groupBy("flow_id").transformWithStateInPandas(
+    return fragments.groupBy("flow_id").transformWithState(
         statefulProcessor=ToolCalls(idle_ms),
         outputStructType=CALL_SCHEMA,
         outputMode="Append",
