@@ -5,7 +5,9 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
+from turnscope.functions import text as X
 from turnscope.operators import retrieval as R
 from turnscope.operators.gates import test_medians as medians_of_tests
 from turnscope.operators.medians import exact_medians
@@ -125,3 +127,23 @@ def test_one_test_in_all_records(spark):
     assert found.filter("test = 'hot'").first().median_s == statistics.median(float(i % 977) for i in range(20_000))
     empty = exact_medians(spark.createDataFrame([], "a string, v double"), ["a"], "v")
     assert empty.count() == 0
+
+
+def test_store_is_shuffled_once_into_its_buckets(spark):
+    """Rows that are dealt to their buckets are added up there and written without another exchange."""
+    none = spark.createDataFrame([], T.STORE_SCHEMA)
+    puts = spark.createDataFrame([entry(f"k{i % 30}", i, i) for i in range(200)], T.STORE_SCHEMA).drop("hit_count")
+    dealt = T.upsert(none, puts, 16)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    plain = {tuple(r) for r in T.upsert(none, puts).select("key", "created_at", "response_json").collect()}
+    assert {tuple(r) for r in dealt.select("key", "created_at", "response_json").collect()} == plain and len(plain) == 30
+
+
+def test_postings_of_a_file_are_made_in_its_row(spark):
+    rows = spark.createDataFrame([("a", "x y\nY x x\n\nz_1 É"), ("b", ""), ("c", None)], "path string, content string")
+    found = rows.select("path", F.explode(R._file_postings(X.lines(F.col("content")))).alias("p")).select("path", "p.*")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.word): r.lines for r in found.collect()} == {
+        ("a", "x"): [1, 2], ("a", "y"): [1, 2], ("a", "z_1"): [4], ("a", "é"): [4],
+    }

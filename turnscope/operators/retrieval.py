@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnscope.functions import text as X
-from turnscope.functions.nested import bind, total
+from turnscope.functions.nested import bind, indexes, part, total
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -113,18 +113,40 @@ def _word_part(word: str, parts: int) -> int:
 def write_index(
     files: DataFrame, folder: str, path: str = "path", content: str = "content", parts: int = INDEX_PARTS, spread: int = INDEX_SPREAD
 ) -> None:
-    """Write the postings of all files, a row for each word and file with the word's line numbers, and the lines themselves.
+    """Write the postings of all files, a row for each word and file with the word's line numbers, and the files' lines.
 
-    Postings lie in ``parts`` folders by hash of the word. A word that stands in every file is dealt to ``spread``
-    tasks by file. Lines are in order of path, so that those of a few files are read by their row groups.
+    A file is one row, so its postings are made inside the row. They lie in ``parts`` folders by hash of the word; a word that
+    stands in every file is dealt to ``spread`` tasks by file. Files are in order of path, so that the lines of a few are
+    read by their row groups.
     """
-    lines = file_lines(files, path, content)
-    words = lines.select("path", "line_no", F.explode(X.words(F.col("text"))).alias("word"))
-    postings = words.groupBy("word", "path").agg(F.sort_array(F.collect_list("line_no")).alias("lines"))
+    named = files.select(F.col(path).alias("path"), X.lines(F.col(content)).alias("lines")).where(F.size("lines") > 0)
+    postings = named.select("path", F.explode(_file_postings(F.col("lines"))).alias("p")).select("p.word", "path", "p.lines")
     postings = postings.withColumn("part", F.crc32(F.col("word").cast("binary")) % parts)
     dealt = postings.repartition("part", F.pmod(F.xxhash64("path"), F.lit(spread))).sortWithinPartitions("part", "word")
-    dealt.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
-    lines.repartitionByRange("path").sortWithinPartitions("path", "line_no").write.mode("overwrite").parquet(f"{folder}/lines")
+    # Written once and read in small parts, so a denser codec pays.
+    dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{folder}/postings")
+    ordered = named.repartitionByRange("path").sortWithinPartitions("path")
+    ordered.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/lines")
+
+
+def _file_postings(rows: Column) -> Column:
+    """The words of one file's lines, each with the numbers of its lines in order."""
+
+    def places(line: Column, i: Column) -> Column:
+        return F.transform(X.words(line), lambda w: F.struct(w.alias("word"), (i + 1).alias("line")))
+
+    def cut(found: Column) -> Column:
+        starts = F.filter(
+            indexes(found), lambda i: (i == 0) | (F.get(found, i)["word"] != F.get(found, i - 1)["word"])
+        )
+
+        def posting(at: Column, start: Column, k: Column) -> Column:
+            own = part(found, start, F.coalesce(F.get(at, k + 1), F.size(found)))
+            return F.struct(F.get(found, start)["word"].alias("word"), F.transform(own, lambda x: x["line"]).alias("lines"))
+
+        return bind(starts, lambda at: F.transform(at, lambda start, k: posting(at, start, k)))
+
+    return bind(F.array_sort(F.flatten(F.transform(rows, places))), cut)
 
 
 def _postings(spark: SparkSession, folder: str, words: list[str], parts: int) -> DataFrame:
@@ -153,9 +175,10 @@ def indexed_search(
     if not top:
         return nothing
     wanted = spark.createDataFrame(top, best.select("path", "score", first.alias("line_no")).schema)
-    lines = spark.read.schema("path string, line_no int, text string").parquet(f"{folder}/lines")
+    lines = spark.read.schema("path string, lines array<string>").parquet(f"{folder}/lines")
     lines = lines.where(F.col("path").isin([r["path"] for r in top]))
-    shown = wanted.select("path", "score", F.explode("line_no").alias("line_no")).join(lines, ["path", "line_no"])
+    shown = wanted.join(lines, "path").select("path", "score", "lines", F.explode("line_no").alias("line_no"))
+    shown = shown.withColumn("text", F.get("lines", F.col("line_no") - 1)).where(F.col("text").isNotNull())
     line = F.struct("line_no", X.strip(F.col("text")).alias("content"))
     return (
         shown.groupBy("path", "score").agg(F.sort_array(F.collect_list(line)).alias("matches"))
