@@ -245,3 +245,26 @@ def test_spread_parts_are_bounded(spark, tmp_path, monkeypatch):
     assert found.rdd.getNumPartitions() == 50
     sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 5000 and max(sizes) < 200
+
+
+def test_unbounded_match_shuffles_rare_words_only(spark, monkeypatch):
+    """A set finds its rare words in its row (no window over all its words), for any number of ranked words."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        words = rng.sample([f"w{k}" for k in range(40)], rng.randint(1, 25)) if i % 3 == 0 or not rows else rows[-1][2].split()[1:] + [f"w{i % 40}"]
+        rows.append((i, "p", " ".join(words) or "w0", "sys", float(i)))
+    entries = prompt_rows(spark, rows)
+    sets = [set(r[2].split()) for r in rows]
+    expected = {}
+    for i, a in enumerate(sets):
+        near = [j for j, b in enumerate(sets) if len(a & b) / len(a | b) >= M.SIMILARITY]
+        expected[i] = max(near)
+    for ranked in (1 << 16, 3, 0):
+        monkeypatch.setattr(M, "RANKED", ranked)
+        found = M.similar_matches_unbounded(entries, entries, 100.0, 0)
+        assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
+        answers = {r.probe_id: (r.similar_response, r.similarity) for r in found.collect()}
+        assert answers.keys() == expected.keys()
+        for i, j in expected.items():
+            assert answers[i][0] == f"r{j}" and abs(answers[i][1] - len(sets[i] & sets[j]) / len(sets[i] | sets[j])) < 1e-9
